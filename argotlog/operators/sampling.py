@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+PREFIX_DIGITS = 4
+
 
 def draw(key: Column, seed: int) -> Column:
     """Pseudo-random text that depends on the key and the seed only."""
@@ -14,8 +17,14 @@ def draw(key: Column, seed: int) -> Column:
 def sample_exact(df: DataFrame, rows: int, key: str = "row_id", seed: int = 42) -> DataFrame:
     """``rows`` rows without replacement, all of them if there are no more than that.
 
-    The keys with the smallest draws win, so the sample is the same for every layout of the data.  Spark keeps only the
-    best ``rows`` keys of each partition; the payload is fetched by a semi join on the sampled keys.
+    The keys with the smallest draws win, so the sample is the same for every layout of the data.  A histogram over the first
+    digits of the draws (at most 65,536 counts) tells up to which prefix the winners reach, so that only about
+    ``rows`` keys enter the final ranking, however big the table is.  The payload comes from a semi join on the sampled keys.
     """
-    best = df.select(key).orderBy(draw(F.col(key), seed), key).limit(rows)
-    return df.join(best, key, "left_semi")
+    drawn = df.select(key).withColumn("draw", draw(F.col(key), seed))
+    prefix = F.substring("draw", 1, PREFIX_DIGITS)
+    histogram = drawn.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    reached = histogram.withColumn("reached", F.sum("n").over(W.orderBy("prefix")))
+    last = reached.filter(F.col("reached") >= rows).agg(F.coalesce(F.min("prefix"), F.lit("g"))).scalar()
+    best = drawn.filter(prefix <= last).orderBy("draw", key).limit(rows)
+    return df.join(best.select(key), key, "left_semi")

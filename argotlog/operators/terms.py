@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, words
 
-# Bounds on what is broadcast when rare terms are looked up: this many terms of at most this many characters.
+# Bounds on what is broadcast when rare terms are looked up: at most this many terms of at most this many characters.
 COMMON_TERMS = 65_536
 COMMON_TERM_CHARS = 128
 
@@ -55,26 +55,33 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
-def rarest_term(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, min_df): the document frequency of the rarest term of every row that has a term.
+def _occurrences(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, term) pairs, (term, df), and the common terms that are safe to broadcast.
 
-    The frequency of a term has to get back to every row with that term, which is a join on the term.  The most common
-    terms, where nearly all occurrences are, are answered from a broadcast of bounded size (``COMMON_TERMS`` terms of at most
-    ``COMMON_TERM_CHARS`` characters).  What is left for the shuffle join has no heavy key: a term outside the broadcast is
-    over-long or less frequent than every broadcast term.
+    A term is common if it has at least 1 / COMMON_TERMS of all occurrences.  There can be no more than COMMON_TERMS of those,
+    and their length is limited too, so the broadcast has a fixed bound for any input.  In return no other term
+    has more than that share of the occurrences, so a shuffle join on the remaining terms has no heavy key
+    (an over-long term aside, which the adaptive skew join splits).
     """
     occurrences = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
     frequency = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    common = (
-        frequency.filter(F.length("term") <= COMMON_TERM_CHARS)
-        .orderBy(F.desc("df"), "term")
-        .limit(COMMON_TERMS)
-        .withColumnRenamed("df", "common_df")
-    )
-    looked_up = occurrences.join(F.broadcast(common), "term", "left")
+    total = frequency.agg(F.sum("df")).scalar()
+    common = frequency.filter((F.length("term") <= COMMON_TERM_CHARS) & (F.col("df") * COMMON_TERMS >= total))
+    return occurrences, frequency, common
+
+
+def rarest_term(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, min_df): the document frequency of the rarest term of every row that has a term.
+
+    The frequency of a term has to get back to every row with that term.  The common terms, where most occurrences are, are
+    answered from a broadcast; only the others are joined by shuffle.
+    """
+    occurrences, frequency, common = _occurrences(df, text, key)
+    looked_up = occurrences.join(F.broadcast(common.withColumnRenamed("df", "common_df")), "term", "left")
     answered = looked_up.filter("common_df IS NOT NULL").select(key, F.col("common_df").alias("df"))
     open_terms = looked_up.filter("common_df IS NULL").select(key, "term")
-    return answered.union(open_terms.join(frequency, "term").select(key, "df")).groupBy(key).agg(F.min("df").alias("min_df"))
+    found = answered.union(open_terms.join(frequency, "term").select(key, "df"))
+    return found.groupBy(key).agg(F.min("df").alias("min_df"))
 
 
 def flag_rare(df: DataFrame, text: str, key: str, min_df: int = 5) -> DataFrame:
@@ -87,17 +94,11 @@ def flag_rare(df: DataFrame, text: str, key: str, min_df: int = 5) -> DataFrame:
 def rows_with_rare_terms(df: DataFrame, text: str, key: str, min_df: int = 5) -> DataFrame:
     """Keys of the rows with a term that occurs in fewer than ``min_df`` rows.
 
-    A rare term has fewer than ``min_df`` rows by definition, so common terms are dropped before the shuffle join (see
-    :func:`rarest_term` for the bound on the broadcast) and the join itself has no heavy key but over-long common terms.
+    Common terms leave before the shuffle; a rare term has fewer than ``min_df`` rows by definition.
     """
-    occurrences = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    frequency = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    common = (
-        frequency.filter((F.col("df") >= min_df) & (F.length("term") <= COMMON_TERM_CHARS))
-        .orderBy(F.desc("df"), "term")
-        .limit(COMMON_TERMS)
-    )
-    rest = occurrences.join(F.broadcast(common.select("term")), "term", "left_anti")
+    occurrences, frequency, common = _occurrences(df, text, key)
+    not_rare = common.filter(F.col("df") >= min_df).select("term")
+    rest = occurrences.join(F.broadcast(not_rare), "term", "left_anti")
     rare = frequency.filter(F.col("df") < min_df).select("term")
     return rest.join(rare, "term", "left_semi").select(key).distinct()
 

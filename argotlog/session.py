@@ -13,6 +13,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -47,8 +48,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fits_broadcast(df: DataFrame, key_bytes: int, max_bytes: int = 64 << 20) -> bool:
-    """Whether a materialised frame whose rows are at most ``key_bytes`` wide is small enough to broadcast."""
-    return df.limit(max_bytes // key_bytes + 1).count() <= max_bytes // key_bytes
