@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.preprocess import analyse
+from ..session import spread
 from ..sources.synthetic import fill, pick_template
 
 # Keywords of the risk queries; in real runs they come from a knowledge base.
@@ -21,7 +22,7 @@ NUM_TOPICS = 11
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
 def commands(spark: SparkSession, folder: str) -> DataFrame:

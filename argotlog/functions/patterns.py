@@ -34,34 +34,40 @@ class Rule:
         return self.placeholder.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _first(char: str) -> str:
+    """One ``char`` with no word character before it.  Testing the character first is much cheaper than the look-behind."""
+    return f"{char}(?<!{WORD}{char})"
+
+
+_HEX = "[A-Fa-f0-9]"
+_D = _first(DIGIT)
+
 # --- Fixed values: what counts as a volatile value, and the placeholder that stands for it. Order matters. ---
 BUILTIN_RULES: tuple[Rule, ...] = (
-    Rule("guids", r"(?i)\{?[a-f0-9]{8}-(?:[a-f0-9]{4}-){3}[a-f0-9]{12}\}?", "<GUID>"),
-    Rule("long_hex_strings", NOT_AFTER_WORD + r"[A-Fa-f0-9]{32,}" + NOT_BEFORE_WORD, "<LONG_HEX_STRING>"),
+    Rule("guids", rf"\{{?{_HEX}{{8}}-(?:{_HEX}{{4}}-){{3}}{_HEX}{{12}}\}}?", "<GUID>"),
+    Rule("long_hex_strings", rf"{_first(_HEX)}{_HEX}{{31,}}{NOT_BEFORE_WORD}", "<LONG_HEX_STRING>"),
     Rule(
         "base64_strings",
         # A run may begin or end with + / =, where a boundary needs a word character on the other side.
-        rf"(?:{NOT_AFTER_WORD}(?=[A-Za-z0-9])|(?<={WORD})(?=[+/=]))"
-        r"[A-Za-z0-9+/=]{50,}"
+        rf"(?:{_first('[A-Za-z0-9]')}|[+/=](?<={WORD}[+/=]))[A-Za-z0-9+/=]{{49,}}"
         rf"(?:(?<=[A-Za-z0-9]){NOT_BEFORE_WORD}|(?<=[+/=])(?={WORD}))",
         "<BASE64_STRING>",
     ),
     Rule(
         "ip_addresses",
-        rf"{NOT_AFTER_WORD}{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}"
-        rf"(?::{DIGIT}{{1,5}})?{NOT_BEFORE_WORD}",
+        rf"{_D}{DIGIT}{{0,2}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}\.{DIGIT}{{1,3}}(?::{DIGIT}{{1,5}})?{NOT_BEFORE_WORD}",
         "<IP_ADDRESS>",
     ),
-    Rule("dates_yyyy-mm-dd", rf"{NOT_AFTER_WORD}{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}{NOT_BEFORE_WORD}", "<DATE>"),
-    Rule("times_hh-mm-ss", rf"{NOT_AFTER_WORD}{DIGIT}{{2}}:{DIGIT}{{2}}:{DIGIT}{{2}}{NOT_BEFORE_WORD}", "<TIME>"),
-    Rule("hex_codes", rf"{NOT_AFTER_WORD}0[xX][A-Fa-f0-9]+{NOT_BEFORE_WORD}", "<HEX_CODE>"),
-    Rule("long_numbers", rf"{NOT_AFTER_WORD}{DIGIT}{{6,}}{NOT_BEFORE_WORD}", "<LONG_NUMBER>"),
+    Rule("dates_yyyy-mm-dd", rf"{_D}{DIGIT}{{3}}-{DIGIT}{{2}}-{DIGIT}{{2}}{NOT_BEFORE_WORD}", "<DATE>"),
+    Rule("times_hh-mm-ss", rf"{_D}{DIGIT}:{DIGIT}{{2}}:{DIGIT}{{2}}{NOT_BEFORE_WORD}", "<TIME>"),
+    Rule("hex_codes", rf"{_first('0')}[xX]{_HEX}+{NOT_BEFORE_WORD}", "<HEX_CODE>"),
+    Rule("long_numbers", rf"{_D}{DIGIT}{{5,}}{NOT_BEFORE_WORD}", "<LONG_NUMBER>"),
 )
 
 # --- Fixed values: the kinds of token, tried in this order at every position of the lower-cased text. ---
 TOKEN_KINDS: tuple[tuple[str, str], ...] = (
     ("placeholder", r"<[a-zA-Z_]+>"),
-    ("quoted", rf"{NOT_AFTER_WORD}\"[^\"]+\"|'[^']+'"),
+    ("quoted", rf"\"(?<!{WORD}\")[^\"]+\"|'[^']+'"),
     ("url", rf"https?://[^{SPACE_CHARS}\"']+"),
     ("flag with value", rf"--?[\p{{L}}\p{{N}}_\-]+=[^{SPACE_CHARS}\"']+"),
     ("drive path", r"[a-zA-Z]:\\[\p{L}\p{N}_\-.\\\x20]+"),
@@ -80,7 +86,10 @@ TOKEN_KINDS: tuple[tuple[str, str], ...] = (
     ("phone, international", rf"\+{DIGIT}{{1,2}}-{DIGIT}{{3}}-{DIGIT}{{3}}-{DIGIT}{{4}}"),
     ("word", rf"{WORD}+"),
 )
-TOKEN_PATTERN = "|".join(f"(?:{pattern})" for _, pattern in TOKEN_KINDS)
+# Most tokens are plain words, and most kinds would have to scan the word before giving up on it.  A word that no kind but the
+# last can claim (nothing follows that would extend it, and it is no hex number) is therefore taken at once.
+PLAIN_WORD = rf"(?!0x[a-fA-F0-9]){WORD}++(?![\-.:@%+/])"
+TOKEN_PATTERN = "|".join(f"(?:{pattern})" for pattern in (PLAIN_WORD, *(pattern for _, pattern in TOKEN_KINDS)))
 
 # --- Fixed values: endings that mark a part of a command line as an executable. ---
 EXECUTABLE_ENDINGS: tuple[str, ...] = ("exe", "com", "bat", "cmd", "ps1", "scr", "cpl")

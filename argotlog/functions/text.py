@@ -138,10 +138,15 @@ def join_words(words_: Column) -> Column:
 def extract_command_line(message: Column) -> Column:
     """The ``CommandLine:`` field of an event message, null if there is none.
 
-    Line ends may be real or already spelled as ``\\\\n``; a field that is not closed by a line end does not count.
+    Line ends may be real or already spelled as backslash and n; a field that is not closed by a line end does not count.
     """
+    return F.get(command_line_fields(message), F.lit(0))
+
+
+def command_line_fields(message: Column) -> Column:
+    """All ``CommandLine:`` fields of an event message as an array."""
     spelled = F.when(message.contains("\\n"), message).otherwise(
         F.replace(F.replace(message, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit(""))
     )
     # regexp_extract gives '' both for an empty field and for no field; the array form tells them apart.
-    return let(spelled, lambda m: F.get(F.regexp_extract_all(m, F.lit(P.MESSAGE_COMMAND_LINE), F.lit(1)), F.lit(0)))
+    return F.regexp_extract_all(spelled, F.lit(P.MESSAGE_COMMAND_LINE), F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, words
+from ..session import materialize
 
 # Bounds on what is broadcast when rare terms are looked up: at most this many terms of at most this many characters.
 COMMON_TERMS = 65_536
@@ -38,6 +39,12 @@ def term_counts(tokens: Column) -> Column:
     return let(F.array_sort(tokens), cut)
 
 
+def exploded(df: DataFrame, *keep: str, items: str | Column = "tokens", name: str = "term") -> DataFrame:
+    """One row per item.  An outer explode with a filter on the item: for a plain explode of a computed column Catalyst adds a filter on
+    the array's size, moves it below the projection, and so computes the array twice."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def bag_of_words(df: DataFrame, key: str = "row_id", tokens: str = "tokens") -> DataFrame:
     """(key, term, n): how often each term occurs in each document, without a shuffle."""
     return df.select(key, F.inline(term_counts(F.col(tokens))).alias("term", "n"))
@@ -45,7 +52,7 @@ def bag_of_words(df: DataFrame, key: str = "row_id", tokens: str = "tokens") ->
 
 def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(term, df): in how many documents a term occurs; counts are combined before the shuffle."""
-    terms = df.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    terms = exploded(df, items=F.array_distinct(tokens))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -63,10 +70,12 @@ def _occurrences(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
     has more than that share of the occurrences, so a shuffle join on the remaining terms has no heavy key
     (an over-long term aside, which the adaptive skew join splits).
     """
-    occurrences = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+    occurrences = exploded(df, key, items=F.array_distinct(words(F.col(text))))
     frequency = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = frequency.agg(F.sum("df")).scalar()
-    common = frequency.filter((F.length("term") <= COMMON_TERM_CHARS) & (F.col("df") * COMMON_TERMS >= total))
+    # One comparison with the count in it: a separate test of the length would be pushed below the aggregation, and the shuffle of the
+    # frequencies could no longer be shared.
+    common = frequency.filter(F.col("df") * COMMON_TERMS >= F.when(F.length("term") <= COMMON_TERM_CHARS, total))
     return occurrences, frequency, common
 
 
@@ -104,6 +113,9 @@ def rows_with_rare_terms(df: DataFrame, text: str, key: str, min_df: int = 5) ->
 
 
 def split_rare(df: DataFrame, text: str, key: str, min_df: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(normal, anomalies): anomalies are the rows with a term that occurs in fewer than ``min_df`` rows."""
-    rare = rows_with_rare_terms(df, text, key, min_df)
+    """(normal, anomalies): anomalies are the rows with a term that occurs in fewer than ``min_df`` rows.
+
+    The keys of the anomalies are computed here and now, once for both results.
+    """
+    rare = materialize(rows_with_rare_terms(df, text, key, min_df))
     return df.join(rare, key, "left_anti"), df.join(rare, key, "left_semi")

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import let
+from .terms import exploded
 
 UNASSIGNED = -1
 
@@ -46,8 +48,7 @@ def top_per_group(counts: DataFrame, group: str, value: str, k: int, n: str = "n
 
 def token_counts(df: DataFrame, topic: str = "topic", tokens: str = "tokens") -> DataFrame:
     """(topic, token, n) over all tokens of the documents of a topic."""
-    exploded = df.select(topic, F.explode(tokens).alias("token"))
-    return exploded.groupBy(topic, "token").agg(F.count(F.lit(1)).alias("n"))
+    return exploded(df, topic, items=tokens, name="token").groupBy(topic, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_tokens(df: DataFrame, k: int = 15, topic: str = "topic", tokens: str = "tokens") -> DataFrame:
@@ -64,7 +65,7 @@ def most_frequent(counts: DataFrame, group: str, value: str, n: str = "n") -> Da
 def top_executable(df: DataFrame, topic: str = "topic", tokens: str = "tokens") -> DataFrame:
     """(topic, token, n): the most frequent token ending in ``.exe`` per topic."""
     lowered = F.transform(tokens, F.lower)
-    programs = df.select(topic, F.explode(F.filter(lowered, lambda t: t.endswith(".exe"))).alias("token"))
+    programs = exploded(df, topic, items=F.filter(lowered, lambda t: t.endswith(".exe")), name="token")
     return most_frequent(programs.groupBy(topic, "token").agg(F.count(F.lit(1)).alias("n")), topic, "token")
 
 
@@ -129,8 +130,12 @@ def _box(counts: DataFrame, topic: str, quartiles: Column) -> DataFrame:
 
 def argmax(weights: Column) -> Column:
     """Index of the largest weight, the lowest on ties; -1 for null, empty or all-zero weights."""
-    best = F.array_max(weights)
-    return F.when(best > 0, (F.array_position(weights, best) - 1).cast("int")).otherwise(F.lit(UNASSIGNED))
+
+    def first_best(w: Column) -> Column:
+        best = F.array_max(w)
+        return F.when(best > 0, (F.array_position(w, best) - 1).cast("int")).otherwise(F.lit(UNASSIGNED))
+
+    return let(weights, first_best)
 
 
 def with_topic_label(df: DataFrame, labels: DataFrame, topic: str = "topic", label: str = "topic_summary") -> DataFrame:

@@ -28,8 +28,17 @@ def analyse(df: DataFrame, rules: Sequence[Rule] = (), text: str = COMMAND_COLUM
 def preprocess(
     df: DataFrame, rules: Sequence[Rule] = (), min_tokens: int = MIN_TOKENS, text: str = COMMAND_COLUMN
 ) -> DataFrame:
-    """:func:`analyse`, then keep documents of at least ``min_tokens`` tokens.  Works on streams too."""
-    return keep_long_enough(analyse(df, rules, text), "tokens", min_tokens)
+    """The columns of :func:`analyse` for the documents of at least ``min_tokens`` tokens.  Works on streams too.
+
+    The tokens come out of a one-row generator.  A filter on an ordinary computed column is moved below the computation, which then
+    runs twice, once for the filter and once for the result.
+    """
+    require_column(df, text)
+    normalized = df.withColumn("normalized_command", T.normalize(F.col(text), rules))
+    tokens = F.struct(T.tokenize(F.col("normalized_command")).alias("tokens"))
+    tokenized = normalized.select("*", F.inline(F.array(tokens)))
+    kept = keep_long_enough(tokenized, "tokens", min_tokens)
+    return kept.withColumn("root_command", T.root_executable(F.col(text)))
 
 
 def enrich(df: DataFrame, examples: DataFrame) -> DataFrame:

@@ -48,3 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table of very few files over all cores before row-wise text work; a table of many files stays as it is.
+
+    The bound is an eighth of the cores (at least 8 partitions), so what is shuffled is small for the cluster at hand.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= max(8, cores // 8) and cores > 1 else df

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_command_line
+from ..functions.text import command_line_fields
 
 COMMAND_COLUMN = "command_line"
 
@@ -75,8 +75,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 def from_messages(df: DataFrame, column: str = "message") -> DataFrame:
     """Command lines found in event message texts; messages without one are dropped, other columns are kept."""
     require_column(df, column)
-    found = df.withColumn(COMMAND_COLUMN, extract_command_line(F.col(column))).drop(column)
-    return drop_missing(found)
+    # Exploding the first field drops the other messages; a filter on the field would search every message twice.
+    first = F.explode(F.slice(command_line_fields(F.col(column)), 1, 1)).alias(COMMAND_COLUMN)
+    return df.select(*[c for c in df.columns if c not in (column, COMMAND_COLUMN)], first)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
