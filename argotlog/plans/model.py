@@ -18,6 +18,7 @@ from ..operators.coherence import model_coherence
 from ..operators.sampling import sample_exact
 from ..operators.terms import vocabulary
 from ..operators.topics import argmax
+from .perplexity import log_perplexity
 
 NUM_TOPICS = 11
 SEED = 42
@@ -164,9 +165,7 @@ def tune_by_perplexity(
     """(best number of topics, [(number of topics, perplexity)]); lower is better, the first of equals wins."""
     kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scores = [
-            (k, math.exp(train_full_batch(kept, k, seed, max_iter).logPerplexity(kept))) for k in topics
-        ]
+        scores = [(k, math.exp(log_perplexity(train_full_batch(kept, k, seed, max_iter), kept))) for k in topics]
     finally:
         kept.unpersist()
     return min(scores, key=lambda s: s[1])[0], scores

@@ -1,0 +1,92 @@
+"""Perplexity of a topic model: the variational bound per token, as in Hoffman, Blei, Bach: Online Learning for LDA, 2010.
+
+Spark's own ``logPerplexity`` exponentiates the whole topics x terms matrix for every document.  Here a document costs only as much as it
+has distinct terms: the fitted document weights come from ``transform``, and the bound is summed up in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import LDAModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_SPARSE = "v struct<indices:array<int>,values:array<double>>"
+
+
+def _special_functions():
+    """(digamma, log gamma) for positive arrays: shifted to large arguments, then the asymptotic series."""
+
+    def shifted(x):
+        x = np.array(x, dtype="float64")
+        ones, logs = np.zeros_like(x), np.zeros_like(x)
+        for _ in range(8):
+            small = x < 8
+            ones += np.where(small, 1 / x, 0)
+            logs += np.where(small, np.log(x), 0)
+            x = np.where(small, x + 1, x)
+        return x, ones, logs
+
+    def digamma(x):
+        x, ones, _ = shifted(x)
+        y = 1 / (x * x)
+        return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240))) - ones
+
+    def log_gamma(x):
+        x, _, logs = shifted(x)
+        y = 1 / (x * x)
+        series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+        return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - logs
+
+    return digamma, log_gamma
+
+
+def log_perplexity(model: LDAModel, vectors: DataFrame) -> float:
+    """Minus the variational bound per token of the documents in ``features``; lower is better."""
+    digamma, log_gamma = _special_functions()
+    weights = model.topicsMatrix().toArray()  # terms x topics, as big as the model itself
+    alpha = np.array(model.estimatedDocConcentration().toArray())
+    terms, topics = weights.shape
+    eta = model.getTopicConcentration() if model.isSet(model.topicConcentration) else 1.0 / topics
+    log_beta = digamma(weights) - digamma(weights.sum(axis=0))
+    topic_part = (
+        ((eta - weights) * log_beta + log_gamma(weights) - log_gamma(np.array(eta))).sum()
+        + topics * log_gamma(np.array(eta * terms))
+        - log_gamma(weights.sum(axis=0)).sum()
+    )
+    shared = vectors.sparkSession.sparkContext.broadcast(log_beta)
+
+    @F.pandas_udf("bound double, tokens double")
+    def document_bound(theta: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        beta, prior = shared.value, log_gamma(alpha.sum()) - log_gamma(alpha).sum()
+        bounds, totals = [], []
+        for shares, ids, counts in zip(theta, indices, values):
+            n = float(np.sum(counts)) if len(counts) else 0.0
+            if not n:
+                bounds.append(0.0)
+                totals.append(0.0)
+                continue
+            # The fitted document parameters add up to the prior mass plus the number of tokens.
+            gamma = np.asarray(shares) * (alpha.sum() + n)
+            log_theta = digamma(gamma) - digamma(gamma.sum())
+            scores = beta[np.asarray(ids)] + log_theta
+            top = scores.max(axis=1)
+            likelihood = (np.asarray(counts) * (top + np.log(np.exp(scores - top[:, None]).sum(axis=1)))).sum()
+            distance = ((alpha - gamma) * log_theta + log_gamma(gamma)).sum() - log_gamma(gamma.sum())
+            bounds.append(float(likelihood + distance + prior))
+            totals.append(n)
+        return pd.DataFrame({"bound": bounds, "tokens": totals})
+
+    # A sparse vector has no accessor in SQL; its JSON form shows the indices and values.
+    sparse = F.from_json(F.to_json(F.struct(F.col("features").alias("v"))), _SPARSE)["v"]
+    documents = model.transform(vectors.select("features")).select(
+        vector_to_array("topicDistribution").alias("theta"), sparse.alias("sparse")
+    )
+    parts = documents.select(document_bound("theta", "sparse.indices", "sparse.values").alias("part"))
+    total = parts.agg(F.sum("part.bound").alias("bound"), F.sum("part.tokens").alias("tokens")).first()
+    shared.unpersist()
+    return float(-(total.bound + topic_part) / total.tokens)

@@ -64,7 +64,16 @@ def read_csv(
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Write CSV that :func:`read_csv` reads back unchanged; ``single_file`` is for small result tables."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", quoteAll=False)
+    # Without the two white-space options Spark would trim every value.
+    out.write.mode("overwrite").csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
