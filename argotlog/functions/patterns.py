@@ -14,8 +14,9 @@ DIGIT = r"\p{Nd}"
 NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 
-# Unicode white space, with the four ASCII separators 1C-1F that Java leaves out of ``\s``.
-SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Unicode white space: all separators and the control characters that count as such.  Single characters are looked up in one table,
+# which is much faster than a list of ranges.
+SPACE_CHARS = r" \p{Z}\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85"
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE_RUN = f"[^{SPACE_CHARS}]+"
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize, executable_title, join_words
 from .terms import document_frequency
-from .topics import category, top_executable, top_roots, top_tokens
+from .topics import category, top_executable
 
 NAME_TOKENS = 15
 NAME_WORDS = 3
@@ -24,17 +25,28 @@ def _ranked_array(df: DataFrame, group: str, rank: str, value: str, name: str) -
     return df.groupBy(group).agg(pairs.alias(name)).select(group, F.col(name)[value].alias(name))
 
 
+def _topic_facts(df: DataFrame) -> DataFrame:
+    """(topic, top_tokens, root_command): most frequent tokens in order, and most frequent root, from one pass over the rows."""
+    root = F.struct(F.lit("root").alias("kind"), F.col("root_command").alias("value"))
+    tokens = F.transform("tokens", lambda t: F.struct(F.lit("token").alias("kind"), t.alias("value")))
+    items = df.select("topic", F.inline(F.concat(F.array(root), tokens)))
+    counts = items.groupBy("topic", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("topic", "kind").orderBy(F.col("value").isNull(), F.desc("n"), "value")
+    best = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NAME_TOKENS)
+    ranked = F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("rank", "value"))))
+    first_root = F.max(F.when((F.col("kind") == "root") & (F.col("rank") == 1), F.col("value")))
+    # At most NAME_TOKENS rows per topic and kind are left here.
+    facts = best.groupBy("topic").agg(ranked.alias("ranked"), first_root.alias("root_command"))
+    return facts.select("topic", F.col("ranked.value").alias("top_tokens"), "root_command")
+
+
 def topic_names(df: DataFrame, topic_words: DataFrame | None = None, num_topics: int | None = None) -> DataFrame:
     """(topic, topic_summary) from what the topic's rows do.
 
     ``df`` has topic, root_command and tokens; ``topic_words`` is (topic, rank, term) and serves topics with neither a root nor a
     category.  With ``num_topics`` topics without rows are named too.
     """
-    facts = _ranked_array(top_tokens(df, NAME_TOKENS), "topic", "rank", "token", "top_tokens").join(
-        top_roots(df).select("topic", "root_command"), "topic", "full"
-    )
-    present = df.select("topic").distinct()
-    facts = present.join(facts, "topic", "left").withColumn("has_rows", F.lit(True))
+    facts = _topic_facts(df).withColumn("has_rows", F.lit(True))
     if num_topics is not None:
         every = df.sparkSession.range(0, num_topics, 1, 1).select(F.col("id").cast("int").alias("topic"))
         facts = every.join(facts, "topic", "full")

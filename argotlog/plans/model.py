@@ -18,6 +18,7 @@ from ..operators.coherence import model_coherence
 from ..operators.sampling import sample_exact
 from ..operators.terms import vocabulary
 from ..operators.topics import argmax
+from ..session import materialize
 from .perplexity import log_perplexity
 
 NUM_TOPICS = 11
@@ -88,13 +89,13 @@ def build_dictionary(df: DataFrame, tokens: str = "tokens", limit: int = VOCABUL
     The words of the model live on the driver, so a corpus with more than ``limit`` distinct tokens is refused, never cut: normalise
     more (extra rules) or split off rows with rare terms first.
     """
-    ranked = vocabulary(df, tokens).orderBy(F.desc("cf"), "term").select("term")
-    counted = vocabulary(df, tokens).count()
+    found = materialize(vocabulary(df, tokens))
+    counted = found.count()
     if counted > limit:
         raise ValueError(f"{counted} distinct tokens are more than a topic model can hold ({limit})")
     if counted == 0:
         raise ValueError("no tokens to build a dictionary from")
-    terms = [row.term for row in ranked.collect()]
+    terms = [row.term for row in found.orderBy(F.desc("cf"), "term").select("term").collect()]
     return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="features", minTF=1.0)
 
 
