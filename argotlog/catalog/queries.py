@@ -13,7 +13,7 @@ from ..functions.patterns import Rule
 from ..operators import coherence, grouping, labels, quality, report, risk, sampling, terms, topics
 from ..plans import model as M
 from ..plans.preprocess import analyse, enrich, preprocess
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import knowledge as kb
 from ..sources import tables
 from ..streaming.score import score_stream, write_stream
@@ -48,13 +48,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a frame that a query reads several times, so that its text work is done once."""
-    path = scratch_path(df.sparkSession, "written")
-    tables.write_parquet(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def glued(tokens) -> F.Column:
     return F.array_join(tokens, GLUE)
 
@@ -610,7 +603,7 @@ def topic_names(spark, folder):
     WHEN program <> '' THEN concat(program, ' (', base, ')') ELSE concat('Topic: ', base) END AS topic_summary FROM named"""
 )
 def tfidf_labels(spark, folder):
-    analysed = written(documents_of_topics(spark, folder).select("row_id", "topic", "tokens"))
+    analysed = materialize(documents_of_topics(spark, folder).select("row_id", "topic", "tokens"))
     return labels.tfidf_labels(analysed, topic_words_by_count(analysed))
 
 
@@ -620,7 +613,7 @@ _LABELLED = f"""{_GROUPS}, lab AS (SELECT CASE WHEN topic = -1 THEN 'Unassigned'
 
 
 def _leaves(spark, folder):
-    analysed = written(documents_of_topics(spark, folder).select("topic", "root_command", "normalized_command"))
+    analysed = materialize(documents_of_topics(spark, folder).select("topic", "root_command", "normalized_command"))
     names = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("topic"), F.col("n_name").alias("topic_summary")
     )
@@ -695,7 +688,7 @@ def sunburst(spark, folder):
     GROUP BY t, topic_summary, top_words"""
 )
 def topic_summary(spark, folder):
-    analysed = written(documents_of_topics(spark, folder).select("topic", "root_command", "tokens"))
+    analysed = materialize(documents_of_topics(spark, folder).select("topic", "root_command", "tokens"))
     return report.topic_summary(analysed, topic_words_by_count(analysed), labels.topic_names(analysed), NUM_TOPICS)
 
 
@@ -836,19 +829,19 @@ def _small_model(documents: DataFrame, k: int = NUM_TOPICS) -> M.TopicModel:
 @query()
 def model_topics_on_rows(spark, folder):
     """Train a topic model on the commands and assign every row its topic."""
-    documents = written(preprocess(commands(spark, folder)))
+    documents = materialize(preprocess(commands(spark, folder)))
     return _small_model(documents).assign(documents).select("row_id", "topic")
 
 
 @query()
 def model_topic_words(spark, folder):
-    return _small_model(written(preprocess(commands(spark, folder)))).top_words(10)
+    return _small_model(materialize(preprocess(commands(spark, folder)))).top_words(10)
 
 
 @query()
 def model_full_batch(spark, folder):
     """Train on all documents in every step and assign topics."""
-    documents = written(preprocess(commands(spark, folder)))
+    documents = materialize(preprocess(commands(spark, folder)))
     vectors = M.build_dictionary(documents).transform(documents)
     scored = M.train_full_batch(vectors, 5, max_iter=5).transform(vectors)
     return scored.select("row_id", topics.argmax(M.vector_to_array("topicDistribution")).alias("topic"))
@@ -856,7 +849,7 @@ def model_full_batch(spark, folder):
 
 @query()
 def perplexity_by_topics(spark, folder):
-    documents = written(preprocess(commands(spark, folder)))
+    documents = materialize(preprocess(commands(spark, folder)))
     vectors = M.build_dictionary(documents).transform(documents)
     _, scores = M.tune_by_perplexity(vectors, (5, 10), max_iter=3)
     return spark.createDataFrame(scores, "num_topics int, perplexity double")
@@ -864,7 +857,7 @@ def perplexity_by_topics(spark, folder):
 
 @query()
 def coherence_by_topics(spark, folder):
-    documents = written(preprocess(commands(spark, folder)))
+    documents = materialize(preprocess(commands(spark, folder)))
     _, scores = M.tune_by_coherence(documents, (5, 9), passes=1)
     return spark.createDataFrame(scores, "num_topics int, coherence double")
 
@@ -883,7 +876,7 @@ def streamed_preprocessing(spark, folder):
 @query()
 def streamed_scores(spark, folder):
     """Topics and keyword flags of a stream of commands, from a model fitted on the same table."""
-    model = _small_model(written(preprocess(commands(spark, folder))))
+    model = _small_model(materialize(preprocess(commands(spark, folder))))
     schema = table(spark, folder, "orders").schema
     orders = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/orders*.parquet")
     out = score_stream(commands_of(orders).drop("topic"), model, KEYWORDS)

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD
+from .patterns import AFTER_WORD, NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD
 
 _SPECIAL = set("\\^$.|?*+()[]{}-&#~")
 _END = ""
@@ -41,7 +41,7 @@ def whole_word_pattern(keywords: Iterable[str], case_sensitive: bool = True) ->
     if not distinct:
         return None
     branches = []
-    for starts_with_word, before in ((True, NOT_AFTER_WORD), (False, f"(?<={WORD})")):
+    for starts_with_word, before in ((True, NOT_AFTER_WORD), (False, AFTER_WORD)):
         tree: dict = {}
         for keyword in distinct:
             if _is_word(keyword[0]) == starts_with_word:

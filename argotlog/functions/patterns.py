@@ -11,7 +11,10 @@ from dataclasses import dataclass
 
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
-NOT_AFTER_WORD = rf"(?<!{WORD})"
+# Java looks behind by code points only if the look-behind spells a character beyond the 16-bit range; this letter is in the class anyway.
+WORD_BEHIND = "[\\p{L}\\p{N}_\U0001d400]"
+NOT_AFTER_WORD = rf"(?<!{WORD_BEHIND})"
+AFTER_WORD = rf"(?<={WORD_BEHIND})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 
 # Unicode white space: all separators and the control characters that count as such.  Single characters are looked up in one table,
@@ -37,7 +40,7 @@ class Rule:
 
 def _first(char: str) -> str:
     """One ``char`` with no word character before it.  Testing the character first is much cheaper than the look-behind."""
-    return f"{char}(?<!{WORD}{char})"
+    return f"{char}(?<!{WORD_BEHIND}{char})"
 
 
 _HEX = "[A-Fa-f0-9]"
@@ -50,7 +53,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     Rule(
         "base64_strings",
         # A run may begin or end with + / =, where a boundary needs a word character on the other side.
-        rf"(?:{_first('[A-Za-z0-9]')}|[+/=](?<={WORD}[+/=]))[A-Za-z0-9+/=]{{49,}}"
+        rf"(?:{_first('[A-Za-z0-9]')}|[+/=](?<={WORD_BEHIND}[+/=]))[A-Za-z0-9+/=]{{49,}}"
         rf"(?:(?<=[A-Za-z0-9]){NOT_BEFORE_WORD}|(?<=[+/=])(?={WORD}))",
         "<BASE64_STRING>",
     ),
@@ -68,7 +71,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
 # --- Fixed values: the kinds of token, tried in this order at every position of the lower-cased text. ---
 TOKEN_KINDS: tuple[tuple[str, str], ...] = (
     ("placeholder", r"<[a-zA-Z_]+>"),
-    ("quoted", rf"\"(?<!{WORD}\")[^\"]+\"|'[^']+'"),
+    ("quoted", rf"\"(?<!{WORD_BEHIND}\")[^\"]+\"|'[^']+'"),
     ("url", rf"https?://[^{SPACE_CHARS}\"']+"),
     ("flag with value", rf"--?[\p{{L}}\p{{N}}_\-]+=[^{SPACE_CHARS}\"']+"),
     ("drive path", r"[a-zA-Z]:\\[\p{L}\p{N}_\-.\\\x20]+"),

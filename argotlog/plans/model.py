@@ -96,7 +96,18 @@ def build_dictionary(df: DataFrame, tokens: str = "tokens", limit: int = VOCABUL
     if counted == 0:
         raise ValueError("no tokens to build a dictionary from")
     terms = [row.term for row in found.orderBy(F.desc("cf"), "term").select("term").collect()]
-    return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="features", minTF=1.0)
+    return _vectorizer(terms, tokens)
+
+
+def _vectorizer(terms: list[str], tokens: str) -> CountVectorizerModel:
+    """``CountVectorizerModel.from_vocabulary`` without its one call per term to the JVM: the terms travel as one joined text."""
+    mark = next((c for c in "\n\x00\x01\x02" if not any(c in t for t in terms)), None)
+    if mark is None or len(terms) < 1000:
+        return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="features", minTF=1.0)
+    jvm = SparkSession.active().sparkContext._jvm
+    words = jvm.java.util.regex.Pattern.compile(mark).split(mark.join(terms), -1)
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    return model.setInputCol(tokens).setOutputCol("features").setMinTF(1.0)
 
 
 def _lda(num_topics: int, rows: int, passes: int, asymmetric: bool, topic_word_prior: float | None, seed: int) -> LDA:

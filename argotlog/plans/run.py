@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Rule
 from ..operators import grouping, labels, quality, report, risk, sampling, terms, topics
-from ..session import materialize, scratch_path
+from ..session import materialize
 from ..sources import knowledge as kb
 from ..sources import synthetic, tables
 from . import model as M
@@ -90,7 +90,7 @@ class Analysis:
         """Take a corpus, sample it down to ``limit`` rows if asked to, and check that it can be analysed."""
         tables.require_column(corpus, tables.COMMAND_COLUMN)
         if self.options.limit:
-            keyed = self._written(tables.with_row_id(corpus), "corpus")
+            keyed = materialize(tables.with_row_id(corpus))
             corpus = sampling.sample_exact(keyed, self.options.limit, "row_id", self.options.seed).drop("row_id")
         row = quality.require_usable(corpus)
         if row.mostly_duplicates:
@@ -120,17 +120,12 @@ class Analysis:
 
     def preprocess(self) -> Analysis:
         prepared = preprocess(self.corpus, self.options.rules, self.options.min_tokens)
-        self.documents = self._written(tables.with_row_id(prepared), "documents")
+        self.documents = materialize(tables.with_row_id(prepared))
         if self.options.isolate_below:
             flagged = terms.flag_rare(self.documents, "normalized_command", "row_id", self.options.isolate_below)
             self.documents = materialize(flagged)
         return self
 
-    def _written(self, df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(self.spark, label)
-        tables.write_parquet(df, path)
-        return self.spark.read.parquet(path)
-
     def _modelled(self) -> DataFrame:
         return self.documents.filter("NOT is_anomaly") if self.options.isolate_below else self.documents
 

@@ -34,6 +34,15 @@ def test_dictionary_is_complete_and_ordered(spark, planted):
         M.build_dictionary(small.filter("false"))
 
 
+def test_big_dictionary(spark):
+    terms = [f"w{i} \\E." for i in range(1500)] + [""]
+    model = M._vectorizer(terms, "tokens")
+    assert model.vocabulary == terms
+    assert M._vectorizer(["a\nb", *terms], "tokens").vocabulary == ["a\nb", *terms]
+    df = spark.createDataFrame([(["w7 \\E.", "w7 \\E.", ""],)], "tokens array<string>")
+    assert dict(zip(*(lambda v: (v.indices, v.values))(model.transform(df).first().features))) == {7: 2.0, 1500: 1.0}
+
+
 def test_prior_falls_and_sums_to_one():
     prior = M.asymmetric_prior(11)
     assert math.isclose(sum(prior), 1) and prior == sorted(prior, reverse=True)

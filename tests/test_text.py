@@ -27,6 +27,7 @@ def test_normalize_cases(spark):
         "1.2.3.4:123456": "<IP_ADDRESS>:<LONG_NUMBER>",
         "é123456": "é123456",
         "e\u0301123456": "e\u0301<LONG_NUMBER>",  # a combining mark is no word character
+        "\U0001d400123456 \U0001f600123456": "\U0001d400123456 \U0001f600<LONG_NUMBER>",
         "x " + "A1+/" * 15 + "A1==": "x <BASE64_STRING>==",
         "a" + "+" * 60 + "b": "<BASE64_STRING>",
     }
@@ -112,7 +113,7 @@ def test_tokenize_agrees_with_python_regex(spark):
     pieces = [
         "a", "é", "É", "0", "12", "2024-01-15", "10:20:30", "c:\\", "\\x", "/", "-", "--", "=", '"', "'", " ", "\t", "\u00a0",
         "\u2003", "http://h", ".exe", ".txt", "@", ".com", "0x", "ff", "<GUID>", "00:11:22:aa:bb:cc", "+1-800-555-5555",
-        "1.2.3.4", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "_", ".", "²", "٣", "e\u0301", "123456789-1234",
+        "1.2.3.4", "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "_", ".", "²", "٣", "e\u0301", "\U0001d400", "\U0001f600", "123456789-1234",
     ]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 10))) for _ in range(6000)]
     assert column_of(spark, texts, T.tokenize) == [[t.strip("\"'") for t in python.findall(x.lower())] for x in texts]
@@ -179,10 +180,10 @@ def test_small_text_functions(spark):
 
 
 def test_keyword_search_agrees_with_python_regex(spark):
-    words = ["certutil", "certutil.exe", "reg", "reg.exe", "C:\\Program", "{x}", "set", "a-b", "a", "éa", "net use", "=go", "e.x", "-"]
+    words = ["\U0001d400b", "certutil", "certutil.exe", "reg", "reg.exe", "C:\\Program", "{x}", "set", "a-b", "a", "éa", "net use", "=go", "e.x", "-"]
     python = re.compile(r"\b(" + "|".join(re.escape(w) for w in sorted(words)) + r")\b")
     rng = random.Random(13)
-    pieces = [*words, " ", "x", "é", ".exe", "_", "-", "C:", "Files", "REG"]
+    pieces = [*words, " ", "x", "é", "\U0001d400", "\U0001f600", ".exe", "_", "-", "C:", "Files", "REG"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 7))) for _ in range(6000)]
     assert column_of(spark, texts, lambda c: K.keyword_matches(c, words)) == [python.findall(t) for t in texts]
     assert column_of(spark, texts, lambda c: K.contains_keyword(c, words)) == [bool(python.search(t)) for t in texts]
