@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from argotlog.llm.jaccard import linked_texts
+from argotlog.llm.toxicity import held_out, scored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = scored(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 

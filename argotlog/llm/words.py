@@ -54,10 +54,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of some consecutive texts: ``hash``, byte range ``start``/``end`` in ``data``, and ``first``: word offsets by text."""
 
-    __slots__ = ("data", "end", "first", "hash", "start", "texts")
+    __slots__ = ("_run", "data", "end", "first", "hash", "start", "texts")
 
-    def __init__(self, data, texts, start, end, first, hashes):
-        self.data, self.texts, self.start, self.end, self.first, self.hash = data, texts, start, end, first, hashes
+    def __init__(self, data, texts, start, end, first, run):
+        self.data, self.texts, self.start, self.end, self.first, self._run = data, texts, start, end, first, run
+        self.hash = self._hash(end)
+
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        return mix((self._run[end] - self._run[self.start]) * _inverses[self.start] + (end - self.start).astype(np.uint64))
+
+    def beginning(self, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word; of the whole word where it is shorter."""
+        return self._hash(np.minimum(self.end, self.start + n))
 
     def doc(self) -> np.ndarray:
         """Number of the text of each word."""
@@ -112,7 +120,7 @@ def words(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, size: in
         _grow(len(data) + 1)
         run = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_SCRAMBLE[data] * _powers[: len(data)], out=run[1:])
-        yield row, stop, Words(data, texts, start, end, first, mix((run[end] - run[start]) * _inverses[start] + (end - start).astype(np.uint64)))
+        yield row, stop, Words(data, texts, start, end, first, run)
 
 
 _SEATS = [U64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
