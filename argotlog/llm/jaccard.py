@@ -150,10 +150,32 @@ def _sets_of(docs: DataFrame, text: str, k: int, ids: DataFrame, members: DataFr
             for row, stop, values, at, s1, _ in _sets(b.column(1), k):
                 right = np.flatnonzero(s1.view(np.int64) == asked[row:stop])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[row:stop][right]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in right], type=pa.binary())], names=["id", "elements"]
+                    [pa.array(asked[row:stop][right]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in right], type=pa.binary()), pa.array([_sketch(values[at[i] : at[i + 1]]) for i in right], type=pa.binary())], names=["id", "elements", "sketch"]
                 )
 
-    return some.mapInArrow(run, "id bigint, elements binary").dropDuplicates(["id"])
+    return some.mapInArrow(run, "id bigint, elements binary, sketch binary").dropDuplicates(["id"])
+
+
+def _sketch(values: np.ndarray) -> bytes:
+    """How many elements fall into each of 128 bins (255 at most): sets differ at least by the sum of the bins' differences."""
+    return np.minimum(np.bincount((values >> U64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches leave possible; no linked pair is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 128).astype(np.int16) for i in (3, 5))
+            apart = np.maximum(np.abs(x - y).sum(axis=1, dtype=np.int64), np.abs(na - nb))
+            # elements in common: (na + nb - difference) / 2
+            common = (na + nb - apart) // 2
+            yield b.select([0, 1]).filter(pa.array(100 * common >= percent * (na + nb - common)))
+
+    slim = sets.select("id", F.expr("octet_length(elements) div 8").alias("n"), "sketch")
+    left, right = (slim.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,7 +194,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, common bigint, both bigint, linked boolean")
+    near = table(_near(pairs, sets, percent), "near")
+    return near.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, common bigint, both bigint, linked boolean")
 
 
 def _possible(percent: int, size_a: Column, at_a: Column, size_b: Column, at_b: Column) -> Column:
@@ -197,14 +220,12 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     common = docs.sparkSession.sparkContext.broadcast(_order(both.where("sets is not null").select("shingle", "sets")))
 
     prefixes = table(_prefixes(source, "text", k, percent, common), "prefixes")
-    first = F.struct("id", "size", "at")
-    lists = prefixes.groupBy("shingle").agg(F.min(first).alias("pivot"), F.max("id").alias("last")).where("pivot.id <> last")
-    entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle").distinct(), "entries")
+    lists = prefixes.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle"), "entries")
     sets = table(_sets_of(source, "text", k, entries.select("id").distinct(), members, names[0]), "sets")
 
-    p = F.col("pivot")
-    to_pivot = entries.where((p["id"] != F.col("id")) & _possible(percent, p["size"], p["at"], F.col("size"), F.col("at")))
-    stars = table(_verify(to_pivot.select(p["id"].alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "stars")
+    to_pivot = entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = table(_verify(to_pivot, sets, percent), "stars")
     links = stars.where("linked").select("a", "b")
     reached = table(components(links), "reached")
 
@@ -213,7 +234,7 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     known = stars.select("a", "b", distance)
     marked = (
         entries.join(reached, "id", "left")
-        .select("shingle", "id", "size", "at", p["id"].alias("a"), F.coalesce("component", "id").alias("component"))
+        .select("shingle", "id", "size", "at", F.col("pivot").alias("a"), F.coalesce("component", "id").alias("component"))
         .join(known.withColumnRenamed("b", "id"), ["a", "id"], "left")
         .where("a <> id")  # pairs with the pivot are answered
     )
@@ -230,7 +251,7 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
         .select(F.col("id_x").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    more = table(_verify(table(pairs, "pairs"), sets, percent).where("linked").select("a", "b"), "links")
+    more = table(_verify(pairs, sets, percent).where("linked").select("a", "b"), "links")
     reached = table(components(links.unionByName(more)), "reached")
 
     labelled = members.join(reached.withColumnRenamed("id", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
