@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
 from argotlog.llm.toxicity import held_out, scored
 
@@ -18,12 +19,17 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
