@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
+from argotlog.llm.perplexity import quality
 from argotlog.llm.toxicity import held_out, scored
 
 
@@ -23,6 +24,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(_table(spark, folder, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
@@ -30,6 +35,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 

@@ -58,14 +58,15 @@ class Words:
 
     def __init__(self, data, texts, start, end, first, run):
         self.data, self.texts, self.start, self.end, self.first, self._run = data, texts, start, end, first, run
-        self.hash = self._hash(end)
+        self.hash = self.hash_of(start, end)
 
-    def _hash(self, end: np.ndarray) -> np.ndarray:
-        return mix((self._run[end] - self._run[self.start]) * _inverses[self.start] + (end - self.start).astype(np.uint64))
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each byte range."""
+        return mix((self._run[end] - self._run[start]) * _inverses[start] + (end - start).astype(np.uint64))
 
     def beginning(self, n: int) -> np.ndarray:
         """Hash of the first ``n`` bytes of each word; of the whole word where it is shorter."""
-        return self._hash(np.minimum(self.end, self.start + n))
+        return self.hash_of(self.start, np.minimum(self.end, self.start + n))
 
     def doc(self) -> np.ndarray:
         """Number of the text of each word."""
