@@ -26,29 +26,28 @@ from argotlog.llm.words import NOT_SPACE, U64, mix, shingles_by_text, sorted_set
 
 # At most so many shingles, the most common ones, have a place of their own in the order; it is a bound on what is broadcast.
 ORDERED_SHINGLES = 1 << 18
+# A task looks for common shingles in so many bytes of sets at a time.
+GATHERED_BYTES = 1 << 25
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row after, set elements, offsets, two fingerprints of each set) for runs of texts."""
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after, set elements, offsets, fingerprint of each set) for runs of texts."""
     for row, stop, w in words(column, NOT_SPACE):
         values, at = sorted_sets(*shingles_by_text(w, k))
         total = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(mix(values ^ U64(0x5851F42D4C957F2D)), out=total[1:])
-        other = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(mix(values + U64(0x14057B7EF767814F)), out=other[1:])
-        size = np.diff(at).astype(np.uint64)
-        yield row, stop, values, at, mix(total[at[1:]] - total[at[:-1]] + size), mix(other[at[1:]] - other[at[:-1]] - size)
+        yield row, stop, values, at, mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _members(docs: DataFrame, text: str, k: int, carry: list[str]) -> DataFrame:
-    """One row per text: ``carry``, size, fingerprints; and for each task the shingles that some of its sets share."""
+def _members(docs: DataFrame, k: int, carry: list[str]) -> DataFrame:
+    """One row per text: ``carry``, size, fingerprint, sketch; and for each task the shingles that some of its sets share."""
     fields = docs.select(*carry).schema
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema = f"{head}, n bigint, s1 bigint, s2 bigint, shingle bigint, sets bigint"
+    schema = f"{head}, n bigint, s1 bigint, sketch binary, shingle bigint, sets bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_bytes = [], 0
@@ -61,29 +60,30 @@ def _members(docs: DataFrame, text: str, k: int, carry: list[str]) -> DataFrame:
             often = counts >= 3
             shared, n = values[edges[:-1][often]], counts[often]
             none = [pa.nulls(len(n), t) for t in types]
-            return pa.RecordBatch.from_arrays([*none, *(pa.nulls(len(n), pa.int64()) for _ in range(3)), _signed(shared), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([*none, *(pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.binary())), _signed(shared), pa.array(n)], names=names)
 
-        types, names = [], [*carry, "n", "s1", "s2", "shingle", "sets"]
+        types, names = [], [*carry, "n", "s1", "sketch", "shingle", "sets"]
         for b in batches:
             column = b.column(b.num_columns - 1)
             types = [b.column(i).type for i in range(len(carry))]
             seen: set[int] = set()
-            for row, stop, values, at, s1, s2 in _sets(column, k):
+            for row, stop, values, at, s1 in _sets(column, k):
                 part = b.slice(row, stop - row)
                 nulls = pa.nulls(stop - row, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(np.diff(at)), _signed(s1), _signed(s2), nulls, nulls], names=names)
+                sketch = pa.array([_sketch(values[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(np.diff(at)), _signed(s1), sketch, nulls, nulls], names=names)
                 for i, s in enumerate(s1.tolist()):
                     if s not in seen:
                         seen.add(s)
                         held.append(values[at[i] : at[i + 1]])
                         held_bytes += held[-1].nbytes
-            if held_bytes > 1 << 26:
+            if held_bytes > GATHERED_BYTES:
                 yield common()
                 held, held_bytes = [], 0
         if held:
             yield common()
 
-    return docs.select(*carry, F.col(text).cast("string").alias(fresh(carry, "text")[0])).mapInArrow(run, schema)
+    return docs.select(*carry, "text").mapInArrow(run, schema)
 
 
 def _order(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +101,14 @@ def _order(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[by], n[by]
 
 
-def _prefixes(docs: DataFrame, text: str, k: int, percent: int, common) -> DataFrame:
+def _prefixes(docs: DataFrame, k: int, percent: int, common) -> DataFrame:
     """(shingle, set, size of the set, position in it) of the prefixes that any link must show in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, often = common.value
         seen: set[int] = set()
         for b in batches:
-            for _, _, values, at, s1, _ in _sets(b.column(0), k):
+            for _, _, values, at, s1 in _sets(b.column(0), k):
                 out = []
                 place = np.searchsorted(shared, values).clip(max=max(len(shared) - 1, 0))
                 weight = np.where(shared[place] == values, often[place], 0) if len(shared) else np.zeros(len(values), np.int64)
@@ -134,26 +134,26 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, common) -> DataF
                         names=["shingle", "id", "size", "at"],
                     )
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "shingle bigint, id bigint, size int, at int")
+    return docs.select("text").mapInArrow(run, "shingle bigint, id bigint, size int, at int")
 
 
-def _sets_of(docs: DataFrame, text: str, k: int, ids: DataFrame, members: DataFrame, key: str) -> DataFrame:
+def _sets_of(docs: DataFrame, k: int, ids: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """(id, set) of the wanted sets only: their texts are fetched by document, then cut into shingles again."""
     wanted = members.join(ids, F.col("s1") == F.col("id")).groupBy("id").agg(F.min(key).alias("key"))
-    column = fresh(docs.columns, "wanted")[0]
-    keys = wanted.select(F.col("key").alias(column), F.col("id").alias(f"{column}_id"))
-    some = docs.select(F.col(key).alias(f"{column}_key"), F.col(text).cast("string").alias("text")).join(keys, F.col(f"{column}_key").eqNullSafe(F.col(column))).select(f"{column}_id", "text")
+    some = docs.select(F.col(key).alias("its"), "text").join(wanted, F.col("its").eqNullSafe(F.col("key")))
+    # repeated rows of one document once; rows of other texts under the same key fall out below
+    some = some.dropDuplicates(["key", "id", "text"]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             asked = b.column(0).to_numpy()
-            for row, stop, values, at, s1, _ in _sets(b.column(1), k):
+            for row, stop, values, at, s1 in _sets(b.column(1), k):
                 right = np.flatnonzero(s1.view(np.int64) == asked[row:stop])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[row:stop][right]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in right], type=pa.binary()), pa.array([_sketch(values[at[i] : at[i + 1]]) for i in right], type=pa.binary())], names=["id", "elements", "sketch"]
+                    [pa.array(asked[row:stop][right]), pa.array([values[at[i] : at[i + 1]].tobytes() for i in right], type=pa.binary())], names=["id", "elements"]
                 )
 
-    return some.mapInArrow(run, "id bigint, elements binary, sketch binary").dropDuplicates(["id"])
+    return table(some.mapInArrow(run, "id bigint, elements binary"), "sets")
 
 
 def _sketch(values: np.ndarray) -> bytes:
@@ -161,7 +161,7 @@ def _sketch(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((values >> U64(57)).astype(np.int64), minlength=128), 255).astype(np.uint8).tobytes()
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and sketches leave possible; no linked pair is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +173,15 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             common = (na + nb - apart) // 2
             yield b.select([0, 1]).filter(pa.array(100 * common >= percent * (na + nb - common)))
 
-    slim = sets.select("id", F.expr("octet_length(elements) div 8").alias("n"), "sketch")
-    left, right = (slim.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    slim = members.groupBy("s1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left, right = (slim.select(F.col("s1").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, size of both, elements in common, linked) of pairs of sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, members: DataFrame, key: str, percent: int) -> DataFrame:
+    """(a, b, elements in common, elements in either, linked) of the pairs that are near; the others are not linked."""
+    near = table(_near(pairs, members, percent), "near")
+    sets = _sets_of(docs, k, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), members, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,8 +196,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    near = table(_near(pairs, sets, percent), "near")
-    return near.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, common bigint, both bigint, linked boolean")
+    found = near.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, common bigint, both bigint, linked boolean")
+    return table(found, "verified")
 
 
 def _possible(percent: int, size_a: Column, at_a: Column, size_b: Column, at_b: Column) -> Column:
@@ -214,24 +216,22 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     """
     columns = [key, *(c for c in carry if c != key)]
     names = fresh([], *(f"c{i}" for i in range(len(columns))))
-    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), F.col(f"`{text}`").alias("text"))
-    both = table(_members(source, "text", k, names), "members")
+    source = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), F.col(f"`{text}`").cast("string").alias("text"))
+    both = table(_members(source, k, names), "members")
     members = both.where("n is not null").drop("shingle", "sets")
     common = docs.sparkSession.sparkContext.broadcast(_order(both.where("sets is not null").select("shingle", "sets")))
 
-    prefixes = table(_prefixes(source, "text", k, percent, common), "prefixes")
+    prefixes = table(_prefixes(source, k, percent, common), "prefixes")
     lists = prefixes.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle"), "entries")
-    sets = table(_sets_of(source, "text", k, entries.select("id").distinct(), members, names[0]), "sets")
-
     to_pivot = entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = table(_verify(to_pivot, sets, percent), "stars")
+    stars = _verified(to_pivot, source, k, members, names[0], percent)
     links = stars.where("linked").select("a", "b")
     reached = table(components(links), "reached")
 
     # Lists that still hold several components: what the pivot's answers leave open.
     distance = (1 - F.col("common") / F.col("both")).alias("distance")
-    known = stars.select("a", "b", distance)
+    known = stars.select("a", "b", distance).distinct()
     marked = (
         entries.join(reached, "id", "left")
         .select("shingle", "id", "size", "at", F.col("pivot").alias("a"), F.coalesce("component", "id").alias("component"))
@@ -251,7 +251,7 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
         .select(F.col("id_x").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    more = table(_verify(pairs, sets, percent).where("linked").select("a", "b"), "links")
+    more = _verified(pairs, source, k, members, names[0], percent).where("linked").select("a", "b")
     reached = table(components(links.unionByName(more)), "reached")
 
     labelled = members.join(reached.withColumnRenamed("id", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))

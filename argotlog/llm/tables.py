@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 
 from argotlog.session import scratch_path
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# For the writing of a table: its shuffle files go when it is written, and rows with long texts reach Python in small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def table(df: DataFrame, label: str = "table", compression: str = "lz4raw") -> DataFrame:
+def table(df: DataFrame, label: str = "table", compression: str = "lz4_raw") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage: lost executors cost no more than their
     running tasks.  The shuffle files that went into it are dropped as soon as it is written."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with _setting(spark, _CLEAN, "true"):
-        df.write.option("compression", {"lz4raw": "lz4_raw"}.get(compression, compression)).parquet(path)
+    with _settings(spark, _WRITING):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
