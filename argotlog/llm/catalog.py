@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
 from argotlog.llm.perplexity import quality
+from argotlog.llm.sentencepiece import load, tokenized
 from argotlog.llm.toxicity import held_out, scored
 
 
+# A public SentencePiece model; the driver reads it, the tasks get its contents.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -28,6 +33,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality(_table(spark, folder, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokenized(_table(spark, folder, "documents").select("doc_id", "text"), load(SENTENCEPIECE_MODEL))
+    return found.select("doc_id", "n_tokens", "ids", "same")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
@@ -36,6 +46,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
