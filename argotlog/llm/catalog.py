@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argotlog.llm import sql
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
+from argotlog.llm.linededup import dedup_lines
 from argotlog.llm.perplexity import quality
 from argotlog.llm.sentencepiece import load, tokenized
 from argotlog.llm.toxicity import held_out, scored
@@ -25,6 +27,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -44,10 +50,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_line_dedup": op3_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": sql.LINE_DEDUP,
+    "op5_benchmark_decontamination": sql.DECONTAMINATION,
+    "op9_ngram_jaccard_join": sql.JACCARD,
+}
