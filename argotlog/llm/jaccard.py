@@ -26,6 +26,8 @@ from argotlog.llm.words import NOT_SPACE, U64, mix, shingles_by_text, sorted_set
 
 # At most so many shingles, the most common ones, have a place of their own in the order; it is a bound on what is broadcast.
 ORDERED_SHINGLES = 1 << 18
+# Rounds in which each list that still holds several components gets a new pivot, before pairs are compared.
+HUB_ROUNDS = 2
 # A task looks for common shingles in so many bytes of sets at a time.
 GATHERED_BYTES = 1 << 25
 
@@ -206,6 +208,43 @@ def _possible(percent: int, size_a: Column, at_a: Column, size_b: Column, at_b:
     return ((100 + percent) * most >= percent * (size_a + size_b)) & (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
 
 
+def _open(entries: DataFrame, reached: DataFrame) -> DataFrame:
+    """The index lists that still hold several components; each set with its component."""
+    marked = entries.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return table(marked.join(mixed.select("shingle"), "shingle"), "open")
+
+
+def _hubs(entries: DataFrame, reached: DataFrame, stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A new pivot for each list that is left, the set nearest to all pivots so far, and the pairs with it that are not answered."""
+    still = _open(entries, reached)
+    centre = stars.groupBy(F.col("b").alias("id")).agg(F.sum(F.col("common") / F.col("both")).alias("weight"))
+    ranked = still.where("id <> pivot").join(centre, "id", "left")
+    best = F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), "id", "size", "at", "component")
+    hub = ranked.groupBy("shingle").agg(F.max(best).alias("hub"))
+    chosen = table(still.join(hub, "shingle").withColumn("pivot", F.col("hub.id")), "hubs")
+    h = F.col("hub")
+    asked = chosen.where((h["component"] != F.col("component")) & _possible(percent, h["size"], h["at"], F.col("size"), F.col("at")))
+    return chosen.drop("hub", "component"), asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _rest(left_over: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components in one list that neither sizes, positions nor distances to the list's pivot exclude."""
+    known = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("both")).alias("distance")).distinct()
+    block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent))).cast("int").alias("block")
+    sets = left_over.join(known, ["pivot", "id"], "left").where("pivot <> id").select("shingle", "id", "size", "at", "component", "distance", block)
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
+    x = sets.select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("id", "size", "at", "component", "distance")), near)
+    apart = F.coalesce(F.abs(F.col("distance_x") - F.col("distance")) > 1 - percent / 100 + 1e-9, F.lit(False))
+    return (
+        x.join(sets, ["shingle", "block"])
+        .where((F.col("id_x") < F.col("id")) & (F.col("component_x") != F.col("component")) & ~apart)
+        .where(_possible(percent, F.col("size_x"), F.col("at_x"), F.col("size"), F.col("at")))
+        .select(F.col("id_x").alias("a"), F.col("id").alias("b"))
+        .distinct()
+    )
+
+
 def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``carry``, ``n_shingles``, ``component_id``.
 
@@ -224,35 +263,21 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     prefixes = table(_prefixes(source, k, percent, common), "prefixes")
     lists = prefixes.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle"), "entries")
-    to_pivot = entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = _verified(to_pivot, source, k, members, names[0], percent)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, source, k, members, names[0], percent)
+
+    stars = verified(entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     links = stars.where("linked").select("a", "b")
     reached = table(components(links), "reached")
-
-    # Lists that still hold several components: what the pivot's answers leave open.
-    distance = (1 - F.col("common") / F.col("both")).alias("distance")
-    known = stars.select("a", "b", distance).distinct()
-    marked = (
-        entries.join(reached, "id", "left")
-        .select("shingle", "id", "size", "at", F.col("pivot").alias("a"), F.coalesce("component", "id").alias("component"))
-        .join(known.withColumnRenamed("b", "id"), ["a", "id"], "left")
-        .where("a <> id")  # pairs with the pivot are answered
-    )
-    mixed = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    block = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent))).cast("int")
-    left_over = table(marked.join(mixed.select("shingle"), "shingle").withColumn("block", block), "open")
-    x = left_over.select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("id", "size", "at", "component", "distance")), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    far = F.abs(F.coalesce(F.col("distance_x"), F.lit(1.0)) - F.coalesce(F.col("distance"), F.lit(1.0))) > 1 - percent / 100 + 1e-9
-    apart = F.col("distance_x").isNotNull() & F.col("distance").isNotNull() & far
-    pairs = (
-        x.join(left_over, ["shingle", "block"])
-        .where((F.col("id_x") < F.col("id")) & (F.col("component_x") != F.col("component")) & ~apart)
-        .where(_possible(percent, F.col("size_x"), F.col("at_x"), F.col("size"), F.col("at")))
-        .select(F.col("id_x").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    more = _verified(pairs, source, k, members, names[0], percent).where("linked").select("a", "b")
-    reached = table(components(links.unionByName(more)), "reached")
+    left_over = entries
+    for _ in range(HUB_ROUNDS):
+        left_over, pairs = _hubs(left_over, reached, stars, percent)
+        stars = stars.unionByName(verified(pairs))
+        links = stars.where("linked").select("a", "b")
+        reached = table(components(links), "reached")
+    pairs = _rest(_open(left_over, reached), stars, percent)
+    reached = table(components(links.unionByName(verified(pairs).where("linked").select("a", "b"))), "reached")
 
     labelled = members.join(reached.withColumnRenamed("id", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = labelled.where("n > 0").groupBy("component").agg(F.min(names[0]).alias("component_id"))
