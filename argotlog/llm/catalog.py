@@ -9,6 +9,7 @@ from argotlog.llm import sql
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
 from argotlog.llm.linededup import dedup_lines
+from argotlog.llm.lmscore import backoff_scores
 from argotlog.llm.perplexity import quality
 from argotlog.llm.sentencepiece import load, tokenized
 from argotlog.llm.toxicity import held_out, scored
@@ -27,6 +28,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    found = backoff_scores(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_order1", "n_order2", "n_order3", F.round(F.col("log_score") / F.col("n_words"), 6).alias("score"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -50,6 +56,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
@@ -58,6 +65,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_lm_scoring": sql.LM_SCORING,
     "op3_line_dedup": sql.LINE_DEDUP,
     "op5_benchmark_decontamination": sql.DECONTAMINATION,
     "op9_ngram_jaccard_join": sql.JACCARD,

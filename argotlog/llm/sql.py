@@ -46,3 +46,23 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.roo
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id
 FROM (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
+
+LM_SCORING = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+c1 AS (SELECT w, count(*) AS c FROM p GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+c3 AS (SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2),
+n AS (SELECT count(*) AS total FROM p),
+s AS (SELECT doc_id, CASE WHEN c3.c IS NOT NULL THEN 3 WHEN c2.c IS NOT NULL THEN 2 ELSE 1 END AS k,
+             CASE WHEN c3.c IS NOT NULL THEN ln(c3.c / h2.c)
+                  WHEN c2.c IS NOT NULL THEN ln(c2.c / h1.c) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                  ELSE ln(c1.c / total) + least(i - 1, 2) * ln(0.4) END AS score
+      FROM p CROSS JOIN n JOIN c1 ON c1.w = p.w LEFT JOIN c1 h1 ON h1.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w
+      LEFT JOIN c2 h2 ON h2.v = p.u AND h2.w = p.v LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w),
+t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE k = 1) AS n_order1, count(*) FILTER (WHERE k = 2) AS n_order2,
+             count(*) FILTER (WHERE k = 3) AS n_order3, round(sum(score) / count(*), 6) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_order1, 0) AS n_order1, coalesce(n_order2, 0) AS n_order2,
+       coalesce(n_order3, 0) AS n_order3, score FROM documents LEFT JOIN t USING (doc_id)
+"""
