@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from argotlog.llm import sql
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
@@ -12,11 +13,15 @@ from argotlog.llm.linededup import dedup_lines
 from argotlog.llm.lmscore import backoff_scores
 from argotlog.llm.perplexity import quality
 from argotlog.llm.sentencepiece import load, tokenized
+from argotlog.llm.tokencount import counted, recounted
 from argotlog.llm.toxicity import held_out, scored
 
 
-# A public SentencePiece model; the driver reads it, the tasks get its contents.
+# Public tokenizer files; the driver reads them, the tasks get their contents.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that belongs to the ranks.
+RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,6 +55,18 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids", "same")
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three edits of every document: a title before it, twenty characters out of its middle, an ending behind it."""
+    with open(RANKS, encoding="ascii") as file:
+        ranks = file.read()
+    before = counted(_table(spark, folder, "documents").select("doc_id", "text"), ranks, RANKS_PATTERN)
+    size, middle = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edits = F.array(*(F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("new")) for a, b, new in ((F.lit(0), F.lit(0), "Title: "), (middle, middle + 20, ""), (size, size, " The end."))))
+    after = recounted(before.withColumn("n_before", F.col("state.tokens")), edits, ranks, RANKS_PATTERN)
+    pretokens = F.expr("octet_length(state.length) div 4")
+    return after.select("doc_id", "n_before", F.col("state.tokens").alias("n_after"), pretokens.alias("n_pretokens"), "n_encoded")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
@@ -61,7 +78,9 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
