@@ -9,6 +9,7 @@ import corpus_pipeline
 from argotlog.llm import sql
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
+from argotlog.llm.licenses import scan_licenses
 from argotlog.llm.linededup import dedup_lines
 from argotlog.llm.lmscore import backoff_scores
 from argotlog.llm.perplexity import quality
@@ -42,6 +43,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(_table(spark, folder, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
+    "op4_license_scans": op4_license_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
