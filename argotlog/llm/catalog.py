@@ -12,6 +12,7 @@ from argotlog.llm.jaccard import linked_texts
 from argotlog.llm.licenses import scan_licenses
 from argotlog.llm.linededup import dedup_lines
 from argotlog.llm.lmscore import backoff_scores
+from argotlog.llm.passages import near_passages
 from argotlog.llm.perplexity import quality
 from argotlog.llm.sentencepiece import load, tokenized
 from argotlog.llm.tokencount import counted, recounted
@@ -76,6 +77,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_texts(_table(spark, folder, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_passages(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -86,6 +91,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_substring_dedup": op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
