@@ -38,6 +38,19 @@ def ask(block: int, kind: int, hashes: np.ndarray, n: np.ndarray, partitions: in
     )
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 or more follow in full."""
+    large = counts >= 255
+    return np.int64(len(counts)).tobytes() + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def _unpack(packed: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(packed, np.int64, 1)[0])
+    counts = np.frombuffer(packed, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed.slice(8 + n).to_pybytes(), np.int64)
+    return counts
+
+
 def answered(asked: DataFrame, least: dict[int, int]) -> DataFrame:
     """Corpus counts of all that was asked; 0 where a count is below ``least`` of its kind."""
 
@@ -53,7 +66,7 @@ def answered(asked: DataFrame, least: dict[int, int]) -> DataFrame:
         out = []
         for asked_for, kind in zip(hashes, rows["kind"].to_pylist(), strict=True):
             c = count[np.searchsorted(known, asked_for)]
-            out.append(np.where(c >= least.get(kind, 1), c, 0).astype(np.int64).tobytes())
+            out.append(_pack(np.where(c >= least.get(kind, 1), c, 0)))
         return pa.table({"block": rows["block"], "kind": rows["kind"], "partition": rows["partition"], "counts": pa.array(out, pa.binary())})
 
     return asked.groupBy("partition").applyInArrow(run, ANSWER)
@@ -63,5 +76,5 @@ def counts_by_kind(answers: pa.Scalar) -> dict[int, np.ndarray]:
     """The answers of one block, collected as (kind, partition, counts), in the order asked."""
     parts: dict[int, list[tuple[int, np.ndarray]]] = {}
     for answer in answers.values or []:
-        parts.setdefault(answer["kind"].as_py(), []).append((answer["partition"].as_py(), np.frombuffer(answer["counts"].as_buffer(), np.int64)))
+        parts.setdefault(answer["kind"].as_py(), []).append((answer["partition"].as_py(), _unpack(answer["counts"].as_buffer())))
     return {kind: np.concatenate([c for _, c in sorted(got, key=lambda x: x[0])]) for kind, got in parts.items()}
