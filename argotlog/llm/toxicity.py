@@ -25,7 +25,7 @@ SPACE = 1 << BITS
 BEGINNING = 5
 # The classifier is fitted on at most about so many labelled rows, taken by a hash of their ids, in shards of about so many.
 LABELLED_ROWS = 48_000
-SHARD_ROWS = 8_000
+SHARD_ROWS = 4_000
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     if len(keys):
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     at = np.searchsorted(keys, np.arange(len(w.first), dtype=np.uint64) << shift)
-    return (keys & U64(SPACE - 1)).astype(np.int64), at
+    return (keys & U64(SPACE - 1)).astype(np.int32), at
 
 
 def _features_of(texts: pd.Series) -> list[np.ndarray]:
@@ -82,7 +82,7 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndar
     for _ in range(how.passes):
         for row, label in zip(rows, labels, strict=True):
             i = np.append(row, SPACE)
-            zi, ni = z[i], n[i]
+            zi, ni = z[i].astype(np.float64), n[i].astype(np.float64)
             root = np.sqrt(ni)
             penalty = np.full(len(i), l1, dtype=np.float64)
             penalty[-1] = 0
@@ -97,13 +97,14 @@ def _round(start, how: Ftrl):
     """One round of one shard, from the state that all shards begin with."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
-        i, z[i], n[i] = start.value
+        z, n = np.zeros(SPACE + 1, np.float32), np.zeros(SPACE + 1, np.float32)
+        i, z_i, n_i = start.value
+        z[i], n[i] = z_i, n_i
         order = pd.util.hash_pandas_object(part["doc_id"], index=False).to_numpy().argsort(kind="stable")
         part = part.iloc[order]
         _learn(_features_of(part["text"]), part["toxic"].to_numpy(), z, n, how)
         seen = np.flatnonzero(n)
-        return pd.DataFrame({"feature": seen, "z": z[seen], "n": n[seen]})
+        return pd.DataFrame({"feature": seen, "z": z[seen].astype(float), "n": n[seen].astype(float)})
 
     return run
 
