@@ -24,7 +24,7 @@ from argotlog.llm.tables import fresh, table
 LEAF = 32
 GROWTH = 8
 # Distinct pre-tokens whose counts a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 # Each character counts; lengths are in code points.
 STATE = "tokens bigint, length binary, count binary, tree binary, leaves binary"
 
