@@ -554,10 +554,10 @@ def exact_sample(spark, folder):
     return sampling.sample_exact(commands(spark, folder), 5000).select("row_id", "command_line")
 
 
-@query("SELECT conv_id, turn, text FROM conversations WHERE conv_id IN (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY md5(concat('7:', conv_id)), conv_id LIMIT 100)")
+@query("SELECT conv_id, turn, text FROM conversations WHERE conv_id IN (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY md5(concat('7:', conv_id)), conv_id LIMIT 40)")
 def sampled_conversations(spark, folder):
     turns = table(spark, folder, "conversations")
-    drawn = sampling.sample_exact(turns.select("conv_id").distinct(), 100, "conv_id", seed=7)
+    drawn = sampling.sample_exact(turns.select("conv_id").distinct(), 40, "conv_id", seed=7)
     return turns.join(drawn, "conv_id", "left_semi").select("conv_id", "turn", "text")
 
 
@@ -741,7 +741,7 @@ def _coherence(spark, folder, measure: str) -> DataFrame:
     words = _word_lists(spark)
     distinct = sorted({w for lists in WORD_LISTS.values() for ws in lists for w in ws})
     contents = coherence.window_contents(documents_of_topics(spark, folder), distinct, coherence.WINDOWS[measure])
-    scored = coherence.topic_coherence(words, coherence.co_occurrences(contents), measure)
+    scored = coherence.topic_coherence(words, coherence.co_occurrences(contents, words), measure)
     return scored.withColumn("coherence", F.round("coherence", 6))
 
 
@@ -787,16 +787,13 @@ def csv_round_trip(spark, folder):
 
 
 @query(
-    f"""WITH {S.CMDS} SELECT CAST(topic % 2 AS INTEGER) AS part, root_command, count(*) AS n FROM {S.with_root('cmds', 'command_line')} WHERE topic >= 0 GROUP BY 1, 2"""
+    f"""WITH {S.CMDS} SELECT CAST(abs(topic) % 2 AS INTEGER) AS part, root_command, count(*) AS n FROM {S.with_root('cmds', 'command_line')} GROUP BY 1, 2"""
 )
 def many_csv_files(spark, folder):
-    """Write two CSV data sets, read both at once, and count root executables per source."""
+    """Write two CSV data sets with their columns in different order, read both at once, and count root executables per source."""
     path = scratch_path(spark, "batch")
-    for part in (0, 1):
-        tables.write_csv(
-            commands(spark, folder).filter((F.col("topic") >= 0) & (F.col("topic") % 2 == part)).select("command_line"),
-            f"{path}/part_{part}",
-        )
+    for part, columns in ((0, ("row_id", "command_line")), (1, ("command_line", "row_id"))):
+        tables.write_csv(commands(spark, folder).filter(F.abs("topic") % 2 == part).select(*columns), f"{path}/part_{part}")
     rows = tables.read_csv(spark, [f"{path}/part_0", f"{path}/part_1"], with_file=True)
     part = F.regexp_extract("source_file", r"/part_(\d)/", 1).cast("int")
     counts = rows.select(part.alias("part"), T.root_executable(F.col("command_line")).alias("root_command"))
@@ -884,3 +881,60 @@ def streamed_scores(spark, folder):
     path = scratch_path(spark, "stream")
     write_stream(out, f"{path}/rows", f"{path}/checkpoint", available_now=True).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+# Two vocabularies, one for even and one for odd orders: a topic model has to tell them apart, which SQL can say without knowing topic numbers.
+_PLANTED_WORDS = (("alpha", "beta", "gamma", "delta"), ("one", "two", "three", "four"))
+_PLANTED_SQL = """SELECT o_orderkey AS row_id, min(o_orderkey) OVER (PARTITION BY o_orderkey % 2) AS same_topic_as FROM orders"""
+
+
+def _planted_of(orders: DataFrame) -> DataFrame:
+    key = F.col("o_orderkey")
+    sides = [F.array(*(F.get(F.array(*map(F.lit, words)), F.pmod(F.xxhash64(key, F.lit(i)), F.lit(4)).cast("int")) for i in range(8))) for words in _PLANTED_WORDS]
+    return orders.select(key.alias("row_id"), F.when(key % 2 == 0, sides[0]).otherwise(sides[1]).alias("tokens"))
+
+
+def _same_topic(assigned: DataFrame) -> DataFrame:
+    """Each row with the smallest row of its topic, which does not depend on how topics are numbered."""
+    first = assigned.groupBy("topic").agg(F.min("row_id").alias("same_topic_as"))
+    return assigned.join(F.broadcast(first), "topic").select("row_id", "same_topic_as")
+
+
+def _planted(spark, folder) -> DataFrame:
+    return materialize(_planted_of(table(spark, folder, "orders")))
+
+
+@query(_PLANTED_SQL)
+def planted_topics(spark, folder):
+    """Train on a corpus of two vocabularies and assign every row; rows of one vocabulary must be in one topic."""
+    documents = _planted(spark, folder)
+    return _same_topic(materialize(M.train(documents, 2, passes=4, topic_word_prior=0.1).assign(documents)))
+
+
+@query(_PLANTED_SQL)
+def planted_topics_full_batch(spark, folder):
+    """The same with all documents in every step."""
+    documents = _planted(spark, folder)
+    vectors = M.build_dictionary(documents).transform(documents)
+    scored = M.train_full_batch(vectors, 2, max_iter=15, topic_word_prior=0.1).transform(vectors)
+    return _same_topic(materialize(scored.select("row_id", topics.argmax(M.vector_to_array("topicDistribution")).alias("topic"))))
+
+
+@query(_PLANTED_SQL)
+def planted_topics_streamed(spark, folder):
+    """A stream over the order files, assigned by a model fitted on the same table."""
+    orders = table(spark, folder, "orders")
+    model = M.train(_planted(spark, folder), 2, passes=4, topic_word_prior=0.1)
+    stream = spark.readStream.schema(orders.schema).parquet(f"{folder.rstrip('/')}/orders*.parquet")
+    out = model.assign(_planted_of(stream)).select("row_id", "topic")
+    path = scratch_path(spark, "stream")
+    write_stream(out, f"{path}/rows", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return _same_topic(spark.read.schema(out.schema).parquet(f"{path}/rows"))
+
+
+@query("SELECT 2 AS num_topics, count(*) AS rows FROM orders")
+def planted_number_of_topics(spark, folder):
+    """Of two and eight topics, perplexity prefers the two that were planted; every row counts."""
+    vectors = M.build_dictionary(documents := _planted(spark, folder)).transform(documents)
+    best, _ = M.tune_by_perplexity(vectors, (2, 8), max_iter=10)
+    return documents.agg(F.lit(best).alias("num_topics"), F.count(F.lit(1)).alias("rows"))

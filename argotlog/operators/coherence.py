@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
+PIECE = 512
 # Width of the sliding window per measure; None counts whole documents.
 WINDOWS: dict[str, int | None] = {"c_v": 110, "c_npmi": 10, "c_uci": 10, "u_mass": None}
 
@@ -18,26 +19,28 @@ WINDOWS: dict[str, int | None] = {"c_v": 110, "c_npmi": 10, "c_uci": 10, "u_mass
 def window_contents(df: DataFrame, words: Sequence[str], window: int | None, tokens: str = "tokens") -> DataFrame:
     """(content, n): the sets of ``words`` seen in boolean sliding windows, and how many windows have that set.
 
-    A document no longer than the window is one window.  Neighbouring windows and repeated documents mostly have the same content,
-    so they collapse inside the task, before the shuffle and before pairs are formed.
+    A document no longer than the window is one window.  A long one is cut into pieces of ``PIECE`` windows first, which share what a window
+    reaches over, so a row in flight never holds more than a piece.  Neighbouring windows and repeated documents mostly have the same
+    content, so they collapse inside the task, before the shuffle and before pairs are formed.
     """
     marked = F.transform(tokens, lambda t: F.when(t.isin(*words), t))
     if window is None:
         contents = df.select(F.array_sort(F.array_compact(F.array_distinct(marked))).alias("content"))
     else:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("marked") - window, F.lit(0)) + 1)
-        contents = (
-            df.select(marked.alias("marked"))
-            .select("marked", F.explode(starts).alias("start"))
-            .select(
-                F.array_sort(F.array_compact(F.array_distinct(F.slice("marked", F.col("start"), F.lit(window))))).alias("content")
-            )
-        )
+        # Windows begin at 1 .. last; a piece holds the tokens of the windows that begin at start .. start + PIECE - 1.
+        last = F.greatest(F.size("marked") - window, F.lit(0)) + 1
+        pieces = F.transform(F.sequence(F.lit(1), last, F.lit(PIECE)), lambda start: F.slice("marked", start, F.lit(PIECE + window - 1)))
+        within = F.sequence(F.lit(1), F.greatest(F.size("piece") - window, F.lit(0)) + 1)
+        content = F.transform(within, lambda start: F.array_sort(F.array_compact(F.array_distinct(F.slice("piece", start, F.lit(window))))))
+        contents = df.select(marked.alias("marked")).select(F.explode(pieces).alias("piece")).select(F.explode(content).alias("content"))
     return contents.groupBy("content").agg(F.count(F.lit(1)).alias("n"))
 
 
-def co_occurrences(contents: DataFrame) -> DataFrame:
-    """(a, b, n) for a <= b: windows with both words; a = b counts the windows with the word, nulls count all windows."""
+def co_occurrences(contents: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(a, b, n) for a <= b: windows with both words; a = b counts the windows with the word, nulls count all windows.
+
+    With ``topics`` only pairs of words of one topic are counted: the others leave inside the task, before the shuffle.
+    """
     pairs = F.flatten(
         F.transform(
             "content",
@@ -47,7 +50,15 @@ def co_occurrences(contents: DataFrame) -> DataFrame:
         )
     )
     everything = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
-    return contents.select(F.inline(F.concat(everything, pairs)), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = contents.select(F.inline(F.concat(everything, pairs)), "n")
+    if topics is not None:
+        # A report-sized table: the words of each topic with each other.
+        x, y = topics.select("model", "topic", F.col("term").alias("a")), topics.select("model", "topic", F.col("term").alias("b"))
+        wanted = x.join(y, ["model", "topic"]).where("a <= b").select("a", "b").distinct()
+        nothing = wanted.sparkSession.createDataFrame([(None, None)], "a string, b string")
+        wanted = wanted.unionByName(nothing).select(F.col("a").alias("wa"), F.col("b").alias("wb"))
+        found = found.join(wanted, F.col("a").eqNullSafe(F.col("wa")) & F.col("b").eqNullSafe(F.col("wb")), "left_semi")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _pairs(topics: DataFrame, counts: DataFrame) -> DataFrame:
@@ -115,5 +126,5 @@ def model_coherence(topics: DataFrame, df: DataFrame, measure: str = "c_v", toke
         raise ValueError(f"unknown coherence measure {measure!r}; known: {', '.join(WINDOWS)}")
     # Topic words are a report-sized table: models x topics x words per topic.
     words = [row.term for row in topics.select("term").distinct().collect()]
-    counts = co_occurrences(window_contents(df, words, WINDOWS[measure], tokens))
+    counts = co_occurrences(window_contents(df, words, WINDOWS[measure], tokens), topics)
     return topic_coherence(topics, counts, measure).groupBy("model").agg(F.avg("coherence").alias("coherence"))

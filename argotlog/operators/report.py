@@ -96,25 +96,22 @@ def topic_summary(df: DataFrame, topic_words: DataFrame, labels: DataFrame, num_
     )
 
 
+def _markdown_table(header: Sequence[str], rows: Sequence[Sequence]) -> list[str]:
+    cells = [[str(c).replace("|", "\\|") for c in row] for row in (header, ["---"] * len(header), *rows)]
+    return [f"| {' | '.join(row)} |" for row in cells]
+
+
 def markdown_report(df: DataFrame, topic_words: DataFrame, n_terms: int, num_topics: int, title: str = "Corpus report") -> str:
     """Text of a short report: totals, topics with their top words, most frequent executables."""
     words = _ranked_array(topic_words.filter("rank <= 5"), "topic", "rank", "term", "words")
     # Both tables are report-sized: one row per topic, ten executables.
     topics = topic_sizes(df).join(F.broadcast(words), "topic", "left").orderBy("topic").collect()
     programs = top_values(df.filter("root_command IS NOT NULL"), "root_command", 10).collect()
-    lines = [
-        f"# {title}",
-        "",
-        f"- Total documents: {sum(t.n_docs for t in topics)}",
-        f"- Unique tokens: {n_terms}",
-        f"- Number of topics: {num_topics}",
-        "",
-        "## Topic Distribution",
-        "",
-        *[f"- **Topic {t.topic}**: {t.n_docs} docs ({t.percent:.1f}%) - {', '.join(t.words or [])}" for t in topics],
-        "",
-        "## Top Executables",
-        "",
-        *[f"- {p.root_command}: {p.n} occurrences" for p in programs],
-    ]
+    lines = [f"# {title}", ""]
+    total = sum(t.n_docs for t in topics)
+    lines += _markdown_table(("measure", "value"), [("rows", total), ("distinct tokens", n_terms), ("topics", num_topics)])
+    lines += ["", "## Topics by number", ""]
+    lines += _markdown_table(("topic", "rows", "share in %", "top words"), [(t.topic, t.n_docs, f"{t.percent:.1f}", " ".join(t.words or [])) for t in topics])
+    lines += ["", "## Executables by frequency", ""]
+    lines += _markdown_table(("executable", "rows"), [(p.root_command, p.n) for p in programs])
     return "\n".join(lines)

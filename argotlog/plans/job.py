@@ -6,7 +6,8 @@ import argparse
 import logging
 from collections.abc import Sequence
 
-from argotlog.plans.model import NUM_TOPICS, SEED
+from argotlog.functions.patterns import Rule
+from argotlog.plans.model import NUM_TOPICS, PASSES, SEED
 from argotlog.plans.run import Options, Result, run
 from argotlog.session import session
 from argotlog.sources import synthetic, tables
@@ -16,10 +17,19 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description="Topics and risk of a corpus of command lines")
     source = p.add_mutually_exclusive_group(required=True)
     source.add_argument("--input", "-i", nargs="+", help="CSV files with a command_line column")
+    source.add_argument("--parquet", nargs="+", help="Parquet files with a text column")
+    source.add_argument("--messages", nargs="+", help="Parquet files with event messages in the text column")
     source.add_argument("--synthetic", "-s", type=int, metavar="N", help="analyse N synthetic command lines")
     p.add_argument("--column", default=tables.COMMAND_COLUMN, help="name of the text column")
     p.add_argument("--topics", "-t", type=int, default=NUM_TOPICS, help="number of topics if not tuned")
     p.add_argument("--no-tune", action="store_true", help="use --topics and do not search for the best number")
+    p.add_argument("--tune-rows", type=int, help="tune on an exact sample of this many rows, not on all")
+    p.add_argument("--single-line", action="store_true", help="no CSV cell holds a line end, so big files can be split")
+    p.add_argument("--isolate-below", type=int, help="model only rows whose every term occurs in this many rows")
+    p.add_argument("--stop-keywords", nargs="*", default=(), help="keywords to leave out of the knowledge base")
+    p.add_argument("--ignore-case", action="store_true", help="match keywords in any case")
+    p.add_argument("--rule", nargs=3, action="append", default=[], metavar=("NAME", "REGEX", "PLACEHOLDER"), help="an extra rule")
+    p.add_argument("--passes", type=int, default=PASSES, help="training passes")
     p.add_argument("--limit", "-l", type=int, help="analyse a random sample of this many rows")
     p.add_argument("--output", "-o", default=".", help="folder for the results")
     p.add_argument("--no-visualize", action="store_true", help="skip the chart tables")
@@ -35,8 +45,12 @@ def main(arguments: Sequence[str] | None = None) -> Result:
     spark = session("argotlog")
     if args.synthetic is not None:
         corpus = synthetic.synthetic_commands(spark, args.synthetic, args.seed).select(tables.COMMAND_COLUMN)
+    elif args.parquet or args.messages:
+        rows = spark.read.parquet(*(args.parquet or args.messages))
+        corpus = tables.from_messages(rows, args.column) if args.messages else tables.drop_missing(tables.keep_column(rows, args.column))
+        corpus = corpus.select(tables.COMMAND_COLUMN)
     else:
-        corpus = tables.read_csv(spark, args.input, args.column)
+        corpus = tables.read_csv(spark, args.input, args.column, multiline=not args.single_line)
     options = Options(
         num_topics=args.topics,
         seed=args.seed,
@@ -44,6 +58,12 @@ def main(arguments: Sequence[str] | None = None) -> Result:
         limit=args.limit,
         charts=not args.no_visualize,
         knowledge_path=args.knowledge_base,
+        passes=args.passes,
+        tune_rows=args.tune_rows,
+        isolate_below=args.isolate_below,
+        stop_keywords=tuple(args.stop_keywords),
+        case_sensitive=not args.ignore_case,
+        rules=tuple(Rule(*rule) for rule in args.rule),
     )
     result = run(spark, corpus, options)
     result.save(args.output)

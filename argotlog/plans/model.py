@@ -25,13 +25,11 @@ NUM_TOPICS = 11
 SEED = 42
 PASSES = 10
 TUNING_PASSES = 3
-TUNING_ROWS = 100_000
 TUNING_TOPICS = range(5, 50, 2)
 PERPLEXITY_TOPICS = range(5, 51, 5)
-CHUNK_ROWS = 2000
 COHERENCE_WORDS = 20
-# Every training step scans the cached vectors once, so a step works on at least this share of them.
-MIN_STEP_SHARE = 0.05
+# A training step takes this share of the documents, whatever their number; each step scans the cached vectors once.
+STEP_SHARE = 0.1
 # The model is a dense topics x terms matrix on the driver and in every task.
 VOCABULARY_LIMIT = 1 << 22
 
@@ -102,7 +100,7 @@ def build_dictionary(df: DataFrame, tokens: str = "tokens", limit: int = VOCABUL
 def _vectorizer(terms: list[str], tokens: str) -> CountVectorizerModel:
     """``CountVectorizerModel.from_vocabulary`` without its one call per term to the JVM: the terms travel as one joined text."""
     mark = next((c for c in "\n\x00\x01\x02" if not any(c in t for t in terms)), None)
-    if mark is None or len(terms) < 1000:
+    if mark is None:
         return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="features", minTF=1.0)
     jvm = SparkSession.active().sparkContext._jvm
     words = jvm.java.util.regex.Pattern.compile(mark).split(mark.join(terms), -1)
@@ -110,10 +108,10 @@ def _vectorizer(terms: list[str], tokens: str) -> CountVectorizerModel:
     return model.setInputCol(tokens).setOutputCol("features").setMinTF(1.0)
 
 
-def _lda(num_topics: int, rows: int, passes: int, asymmetric: bool, topic_word_prior: float | None, seed: int) -> LDA:
+def _lda(
+    num_topics: int, passes: int, asymmetric: bool, topic_word_prior: float | None, seed: int, share: float = STEP_SHARE
+) -> LDA:
     """Online variational Bayes with the step size rule (1 + t) ** -0.5 and ``passes`` passes in expectation."""
-    chunk = min(max(100, rows // 32), CHUNK_ROWS)
-    share = min(1.0, max(MIN_STEP_SHARE, chunk / max(rows, 1)))
     lda = LDA(
         k=num_topics,
         seed=seed,
@@ -138,12 +136,13 @@ def train(
     asymmetric: bool = True,
     topic_word_prior: float | None = 1.0,
     dictionary: CountVectorizerModel | None = None,
+    step_share: float = STEP_SHARE,
 ) -> TopicModel:
-    """Fit a topic model on the ``tokens`` of ``df``."""
+    """Fit a topic model on the ``tokens`` of ``df``; each step takes ``step_share`` of the documents."""
     dictionary = dictionary or build_dictionary(df)
     vectors = dictionary.transform(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        lda = _lda(num_topics, vectors.count(), passes, asymmetric, topic_word_prior, seed).fit(vectors)
+        lda = _lda(num_topics, passes, asymmetric, topic_word_prior, seed, step_share).fit(vectors)
     finally:
         vectors.unpersist()
     return TopicModel(PipelineModel([dictionary, lda]))
@@ -189,22 +188,23 @@ def tune_by_coherence(
     measure: str = "c_v",
     passes: int = TUNING_PASSES,
     seed: int = SEED,
-    sample_rows: int = TUNING_ROWS,
+    sample_rows: int | None = None,
     key: str = "row_id",
     dictionary: CountVectorizerModel | None = None,
 ) -> tuple[int, list[tuple[int, float]]]:
     """(best number of topics, [(number of topics, coherence)]); higher is better, the first of equals wins.
 
-    One cached sample and one dictionary serve all candidates, and their topic words are scored together in one pass over the texts.
+    All documents count unless ``sample_rows`` asks for an exact sample of them.  One cached table of vectors and one dictionary serve all
+    candidates, and their topic words are scored together in one pass over the texts.
     """
     dictionary = dictionary or build_dictionary(df)
-    sample = dictionary.transform(sample_exact(df, sample_rows, key, seed)).select("tokens", "features")
+    chosen = sample_exact(df, sample_rows, key, seed) if sample_rows else df
+    sample = dictionary.transform(chosen).select("tokens", "features")
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = sample.count()
         words = None
         for k in topics:
-            lda = _lda(k, rows, passes, False, None, seed).fit(sample)
+            lda = _lda(k, passes, False, None, seed).fit(sample)
             of_k = TopicModel(PipelineModel([dictionary, lda])).top_words(COHERENCE_WORDS)
             of_k = of_k.withColumn("model", F.lit(k))
             words = of_k if words is None else words.unionByName(of_k)

@@ -6,6 +6,7 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ class Options:
     tune: bool = False
     tune_topics: Sequence[int] = M.TUNING_TOPICS
     tune_measure: str = "c_v"
+    tune_rows: int | None = None
     limit: int | None = None
     knowledge_path: str | None = None
     case_sensitive: bool = True
@@ -52,10 +54,12 @@ class Result:
     keyword_counts: DataFrame | None = None
     charts: dict[str, DataFrame] = field(default_factory=dict)
     tuning: list[tuple[int, float]] = field(default_factory=list)
+    # The documents before groups and labels were joined to them: the report needs no more.
+    assigned: DataFrame | None = None
 
     def report(self) -> str:
         return report.markdown_report(
-            self.documents, self.model.top_words(5), len(self.model.dictionary), self.model.num_topics
+            self.assigned if self.assigned is not None else self.documents, self.model.top_words(5), len(self.model.dictionary), self.model.num_topics
         )
 
     def save(self, path: str) -> None:
@@ -67,6 +71,13 @@ class Result:
             tables.write_parquet(self.scores, f"{path}/topic_scores")
         for name, table in self.charts.items():
             tables.write_parquet(table, f"{path}/charts/{name}")
+        if self.keyword_counts is not None:
+            tables.write_parquet(risk.top_keywords(self.keyword_counts), f"{path}/topic_keywords")
+        spark = self.documents.sparkSession
+        if self.tuning:
+            scores = spark.createDataFrame(self.tuning, "num_topics int, score double")
+            tables.write_csv(scores, f"{path}/tuning", single_file=True)
+        spark.createDataFrame([(self.report(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
 class Analysis:
@@ -110,12 +121,13 @@ class Analysis:
             log.warning("no knowledge base given: no enrichment and no risk scores")
             return self
         try:
-            base = materialize(kb.read_knowledge_base(self.spark, self.options.knowledge_path))
-            self.keywords = kb.keyword_list(base, self.options.stop_keywords)
-            self.corpus = enrich(self.corpus, kb.example_commands(base))
-        except Exception as error:  # a broken knowledge base must not stop the analysis of the corpus
-            log.warning("knowledge base not usable, going on without: %s", error)
-            self.keywords = None
+            documents = kb.read_documents(self.spark, self.options.knowledge_path)
+        except AnalysisException as error:  # a missing knowledge base must not stop the analysis of the corpus
+            log.warning("knowledge base not found, going on without: %s", error)
+            return self
+        base = kb.parsed_base(documents)
+        self.keywords = kb.keyword_list(base, self.options.stop_keywords)
+        self.corpus = enrich(self.corpus, kb.example_commands(base))
         return self
 
     def preprocess(self) -> Analysis:
@@ -140,6 +152,7 @@ class Analysis:
             self.options.tune_topics,
             self.options.tune_measure,
             seed=self.options.seed,
+            sample_rows=self.options.tune_rows,
             dictionary=self.dictionary,
         )
         return self
@@ -167,7 +180,7 @@ class Analysis:
         words = self.model.top_words(report.HEATMAP_WORDS)
         names = materialize(labels.topic_names(documents, words, k))
         summary = report.topic_summary(documents, words, names, k)
-        out = Result(documents, self.model, summary, names, tuning=self.tuning)
+        out = Result(documents, self.model, summary, names, tuning=self.tuning, assigned=documents)
         if self.keywords is not None:
             out.keyword_counts = materialize(
                 risk.keyword_counts(documents, self.keywords, case_sensitive=self.options.case_sensitive)
@@ -199,12 +212,25 @@ def run(spark: SparkSession, corpus: DataFrame, options: Options = Options()) ->
     return analysis.train().assign().result()
 
 
+def _names(paths: Sequence[str]) -> list[str]:
+    if len(set(paths)) < len(paths):
+        raise ValueError("a file is named twice")
+    parts = [p.rstrip("/").removesuffix(".csv").split("/") for p in paths]
+    for depth in range(1, max(map(len, parts), default=1) + 1):
+        names = ["-".join(part for part in p[-depth:] if part) for p in parts]
+        if len(set(names)) == len(names):
+            return names
+    return [f"{i}-{name}" for i, name in enumerate(names)]
+
+
 def run_files(spark: SparkSession, paths: Sequence[str], output: str, options: Options = Options()) -> dict[str, str]:
-    """One run per CSV file, each with its own output folder; returns the folder of each file."""
+    """One run per CSV file, since each gets a model of its own; returns the output folder of each file.
+
+    A folder bears the name of its file; files of one name also get the names of as many folders above them as tell them apart.
+    """
     folders = {}
-    for path in paths:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        folder = f"{output.rstrip('/')}/{name[:-4] if name.endswith('.csv') else name}"
+    for path, name in zip(paths, _names(paths)):
+        folder = f"{output.rstrip('/')}/{name}"
         run(spark, tables.read_csv(spark, path), options).save(folder)
         folders[path] = folder
     return folders

@@ -29,14 +29,21 @@ def session(app_name: str = "argotlog", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder that the session has already.
+
+    A session on one machine that names none gets a temporary folder.  On a cluster that would be a folder of the driver alone, so there
+    the setting is asked for.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = folder or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="argotlog-")
     if context.getCheckpointDir() is None:
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="argotlog-")
         context.setCheckpointDir(folder)
-    return folder or context.getCheckpointDir()
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -5,6 +5,7 @@ Documents are read by Spark, parsed next to the data inside the tasks, and becom
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_word
+from ..session import materialize
 from .tables import COMMAND_COLUMN
 
+log = logging.getLogger(__name__)
+
 _COMMAND = (
     "struct<Command:string,Description:string,Usecase:string,Category:string,Privileges:string,MitreID:string,"
     "OperatingSystem:string,Tags:array<map<string,string>>>"
@@ -24,7 +28,6 @@ KNOWLEDGE_SCHEMA = (
     "Detection array<map<string,string>>, Resources array<struct<Link:string>>, "
     "Acknowledgement array<struct<Person:string,Handle:string>>"
 )
-KEYWORD_LIMIT = 100_000
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -84,8 +87,17 @@ def parse_documents(documents: DataFrame, column: str = "document") -> DataFrame
     return documents.select(column).mapInPandas(parse, KNOWLEDGE_SCHEMA)
 
 
+def parsed_base(documents: DataFrame) -> DataFrame:
+    """The knowledge base as a table; how many of the documents are no valid YAML is logged as a warning."""
+    parsed = materialize(parse_documents(documents))
+    lost = documents.count() - parsed.count()
+    if lost:
+        log.warning("%d documents of the knowledge base are not valid and were left out", lost)
+    return parsed
+
+
 def read_knowledge_base(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(read_documents(spark, path))
+    return parsed_base(read_documents(spark, path))
 
 
 def example_commands(knowledge: DataFrame) -> DataFrame:
@@ -104,10 +116,7 @@ def keywords(knowledge: DataFrame) -> DataFrame:
     return names.union(programs).filter(F.col("keyword").isNotNull()).distinct().orderBy("keyword")
 
 
-def keyword_list(knowledge: DataFrame, stop_keywords: Sequence[str] = (), limit: int = KEYWORD_LIMIT) -> list[str]:
-    """Sorted keywords on the driver, where they become one search pattern; refuses a list of more than ``limit``."""
+def keyword_list(knowledge: DataFrame, stop_keywords: Sequence[str] = ()) -> list[str]:
+    """Sorted keywords on the driver, where they become one search pattern: a handful per document of the knowledge base."""
     rows = keywords(knowledge).filter(~F.col("keyword").isin(*stop_keywords) if stop_keywords else F.lit(True))
-    found = [row.keyword for row in rows.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} keywords do not make a usable search pattern")
-    return sorted(found)
+    return sorted(row.keyword for row in rows.collect())

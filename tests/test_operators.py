@@ -132,7 +132,7 @@ def test_report_tables(spark):
     df = spark.createDataFrame([(0, "a.exe"), (0, "a.exe"), (1, "b")], "topic int, root_command string")
     topic_words = spark.createDataFrame([(0, 1, "w", 0.5), (1, 1, "v", 0.5)], "topic int, rank int, term string, weight double")
     text = report.markdown_report(df, topic_words, 7, 2)
-    assert "- Total documents: 3" in text and "- **Topic 0**: 2 docs (66.7%) - w" in text and "- a.exe: 2 occurrences" in text
+    assert "| rows | 3 |" in text and "| 0 | 2 | 66.7 | w" in text and "| a.exe | 2 |" in text
 
 
 def test_windows_of_long_documents(spark):

@@ -42,8 +42,6 @@ def test_knowledge_base(spark, tmp_path):
     ]
     assert kb.keyword_list(base) == ["Certutil.exe", "Reg.exe", "certutil", "certutil.exe", "reg"]
     assert kb.keyword_list(base, ["reg"]) == ["Certutil.exe", "Reg.exe", "certutil", "certutil.exe"]
-    with pytest.raises(ValueError):
-        kb.keyword_list(base, limit=2)
 
 
 @pytest.mark.skipif(not os.path.isdir(FULL_KNOWLEDGE), reason="no full knowledge base at hand")
