@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from argotlog.llm.words import give_back
+
 ASKED = "partition int, kind int, block bigint, hashes binary, n binary"
 ANSWER = "block bigint, kind int, partition int, counts binary"
 # About how many (hash, block) rows a partition of the count table takes.
@@ -67,6 +69,8 @@ def answered(asked: DataFrame, least: dict[int, int]) -> DataFrame:
         for asked_for, kind in zip(hashes, rows["kind"].to_pylist(), strict=True):
             c = count[np.searchsorted(known, asked_for)]
             out.append(_pack(np.where(c >= least.get(kind, 1), c, 0)))
+        del hashes, every, order, ordered
+        give_back()
         return pa.table({"block": rows["block"], "kind": rows["kind"], "partition": rows["partition"], "counts": pa.array(out, pa.binary())})
 
     return asked.groupBy("partition").applyInArrow(run, ANSWER)

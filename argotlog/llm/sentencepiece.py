@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argotlog.llm.tables import fresh
+from argotlog.llm.words import give_back
 
 BLANK = "▁"
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -343,6 +344,8 @@ def encoded(spark, vocabulary: Vocabulary, text: Column) -> Column:
                 ids.append(got)
             at = pa.array(np.concatenate(offsets).astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False)) if column.null_count else np.concatenate(offsets).astype(np.int32)
             yield pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))
+            del ids, offsets, got, at
+            give_back()
 
     return encode(text)
 
@@ -371,6 +374,8 @@ def decoded(spark, vocabulary: Vocabulary, ids: Column) -> Column:
                 raw = pool[np.arange(end[-1] if len(end) else 0) + np.repeat(start[got] - end + n, n)].tobytes()
                 out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
             yield pa.array(out, pa.string())
+            del out
+            give_back()
 
     return decode(ids)
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argotlog.llm.tables import fresh, table
+from argotlog.llm.words import give_back
 
 # Pre-tokens of a leaf, and how much a leaf may grow before the tree is laid out anew.
 LEAF = 32
@@ -179,6 +180,8 @@ def counted(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
                 n = len(parts)
                 rows.append(Counted(np.fromiter(map(len, parts), np.uint32, n), np.fromiter(counter.counts(parts), np.uint32, n)).packed())
             yield _struct(rows)
+            del rows
+            give_back()
 
     kept = [c for c in docs.columns if c.lower() != "state"]
     return table(docs.select(*(F.col(f"`{c}`") for c in kept), state(F.col(f"`{text}`").cast("string")).alias("state")), "state", "zstd")
@@ -214,6 +217,8 @@ def recounted(states: DataFrame, edits: Column, ranks: str, pattern: str, text:
                 encoded.append(n)
             parts = _struct(rows)
             yield pa.StructArray.from_arrays([pa.array(new_texts, pa.string()), *parts.flatten(), pa.array(encoded, pa.int64())], names=["text", *(f.name for f in parts.type), "n_encoded"])
+            del rows, new_texts, parts
+            give_back()
 
     name = fresh(states.columns, "after")[0]
     found = states.withColumn(name, apply(F.col(f"`{text}`").cast("string"), F.col("state"), edits))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argotlog.llm.tables import fresh, table
-from argotlog.llm.words import LETTERS_DIGITS, U64, Words, mix, words
+from argotlog.llm.words import LETTERS_DIGITS, U64, Words, give_back, mix, words
 
 # Features live in a fixed space: the first half is for single words, the second for pairs.
 BITS = 22
@@ -103,6 +103,8 @@ def _round(start, how: Ftrl):
         order = pd.util.hash_pandas_object(part["doc_id"], index=False).to_numpy().argsort(kind="stable")
         part = part.iloc[order]
         _learn(_features_of(part["text"]), part["toxic"].to_numpy(), z, n, how)
+        del part
+        give_back()
         seen = np.flatnonzero(n)
         return pd.DataFrame({"feature": seen, "z": z[seen].astype(float), "n": n[seen].astype(float)})
 

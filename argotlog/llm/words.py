@@ -7,6 +7,7 @@ bytes, taken from running sums, and a final mix; the same word has the same hash
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # only some C libraries keep freed memory back, and have this to release it
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task, or its neighbour's, should not hold it."""
+    if _trim is not None:
+        _trim(0)
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SCRAMBLE = np.random.Generator(np.random.PCG64(20_240_607)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 # Bytes of text looked at together: small enough for the processor's cache, so memory does not grow with the batch.
@@ -122,6 +135,7 @@ def words(column: pa.Array, word_bytes: np.ndarray, lower: bool = True, size: in
         run = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_SCRAMBLE[data] * _powers[: len(data)], out=run[1:])
         yield row, stop, Words(data, texts, start, end, first, run)
+    give_back()
 
 
 _SEATS = [U64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
