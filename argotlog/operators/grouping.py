@@ -13,13 +13,16 @@ leader.  The result is exactly that of the sequential definition, without a sequ
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import root_executable
-from ..session import materialize
+from ..session import materialize, spread
 
 DEFAULT_THRESHOLD = 40
 BATCH = 256
@@ -58,31 +61,44 @@ def make_similarity():
     return common
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 .. 100: twice the longest common subsequence over the total length."""
-    common = make_similarity()
+def make_bound():
+    """``(text, list of texts) -> upper bounds of the common subsequences``, for all of the list at once.
 
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(
-            [200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(left, right)], dtype="float64"
-        )
+    Two texts cannot share more than the characters they have in common, whatever their order.  Characters are counted in 64 bins, which
+    only raises the bound.
+    """
+    bins = 64
+    counted: dict[str, np.ndarray] = {}
+
+    def counts(text: str) -> np.ndarray:
+        found = counted.get(text)
+        if found is None:
+            if len(counted) > 20_000:
+                counted.clear()
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = counted[text] = np.bincount(codes % bins, minlength=bins).astype(np.int32)
+        return found
+
+    def bounds(text: str, options: Sequence[str]) -> np.ndarray:
+        if not len(options):
+            return np.zeros(0, np.int32)
+        return np.minimum(np.stack([counts(o) for o in options]), counts(text)).sum(axis=1)
 
-    return ratio(a, b)
+    return bounds
 
 
 def _best_of(template: Column, candidates: Column, threshold: int) -> Column:
     """(common, position) of the first most similar candidate that reaches the threshold; position is null if none does."""
-    common = make_similarity()
+    common, bounds = make_similarity(), make_bound()
 
     @F.pandas_udf("ratio double, position int")
     def best(templates: pd.Series, lists: pd.Series) -> pd.DataFrame:
         ratios, positions = [], []
         for text, options in zip(templates, lists):
             top, where = -1.0, None
-            for i, option in enumerate(options):
+            for i, (option, bound) in enumerate(zip(options, bounds(text, options).tolist())):
                 total = len(text) + len(option)
-                if not total or 200.0 * min(len(text), len(option)) / total <= top:
+                if not total or 200.0 * bound / total <= top or 200 * bound < threshold * total:
                     continue
                 shared = common(text, option)
                 if 200 * shared >= threshold * total and 200.0 * shared / total > top:
@@ -117,15 +133,15 @@ def find_leaders(templates: DataFrame, threshold: int = DEFAULT_THRESHOLD, batch
 
     ``leaders`` holds (order, text) in rank order, at most ``batch`` per block; ``order`` is minus the row count.
     """
-    common = make_similarity()
+    common, bounds = make_similarity(), make_bound()
 
     def first_leaders(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
         leaders: list[dict] = []
         for text, n in zip(rows["template"], rows["n"]):
-            for leader in leaders:
+            for leader, bound in zip(leaders, bounds(text, [e["text"] for e in leaders]).tolist()):
                 total = len(text) + len(leader["text"])
-                if 200 * min(len(text), len(leader["text"])) < threshold * total:
+                if 200 * bound < threshold * total:
                     continue
                 if 200 * common(text, leader["text"]) >= threshold * total:
                     break
@@ -147,7 +163,7 @@ def find_leaders(templates: DataFrame, threshold: int = DEFAULT_THRESHOLD, batch
         new = materialize(decided)
         blocks = new.select("bucket", "leaders")
         found = blocks if found is None else found.union(blocks)
-        later = _with_leaders(undecided, new).filter(_rank(F.col("n"), F.col("template")) > F.col("last"))
+        later = _with_leaders(spread(undecided), new).filter(_rank(F.col("n"), F.col("template")) > F.col("last"))
         unlike = later.filter(_best_leader(threshold)["position"].isNull())
         undecided = materialize(unlike.select("bucket", "template", "n"))
         if undecided.isEmpty():
@@ -173,7 +189,7 @@ def _candidates(threshold: int) -> Column:
 
 def assign_leaders(templates: DataFrame, blocks: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """(template, command_group): the most similar earlier leader of the bucket, the earlier one on ties, else the template."""
-    compared = _with_leaders(templates, blocks).withColumn("best", _best_leader(threshold))
+    compared = _with_leaders(spread(templates), blocks).withColumn("best", _best_leader(threshold))
     winner = F.get(_candidates(threshold), F.col("best.position"))
     offer = F.struct((-F.col("best.ratio")).alias("distance"), winner.alias("leader"))
     offers = compared.select("template", F.when(F.col("best.position").isNotNull(), offer).alias("offer"))

@@ -70,7 +70,8 @@ def _occurrences(df: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFra
     has more than that share of the occurrences, so a shuffle join on the remaining terms has no heavy key
     (an over-long term aside, which the adaptive skew join splits).
     """
-    occurrences = exploded(df, key, items=F.array_distinct(words(F.col(text))))
+    # Read twice by every caller, for the frequencies and for the look-up: a table, so that no text is split twice.
+    occurrences = materialize(exploded(df, key, items=F.array_distinct(words(F.col(text)))))
     frequency = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = frequency.agg(F.sum("df")).scalar()
     # One comparison with the count in it: a separate test of the length would be pushed below the aggregation, and the shuffle of the
