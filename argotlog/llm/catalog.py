@@ -15,7 +15,7 @@ from argotlog.llm.lmscore import backoff_scores
 from argotlog.llm.passages import near_passages
 from argotlog.llm.perplexity import quality
 from argotlog.llm.sentencepiece import load, tokenized
-from argotlog.llm.tables import table
+from argotlog.llm.tables import drop, table
 from argotlog.llm.tokencount import counted, recounted
 from argotlog.llm.toxicity import held_out, scored
 
@@ -71,7 +71,9 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     edits = F.array(*(F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("new")) for a, b, new in ((F.lit(0), F.lit(0), "Title: "), (middle, middle + 20, ""), (size, size, " The end."))))
     after = recounted(before.withColumn("n_before", F.col("state.tokens")), edits, ranks, RANKS_PATTERN)
     pretokens = F.expr("octet_length(state.length) div 4")
-    return table(after.select("doc_id", "n_before", F.col("state.tokens").alias("n_after"), pretokens.alias("n_pretokens"), "n_encoded"), "counts")
+    out = table(after.select("doc_id", "n_before", F.col("state.tokens").alias("n_after"), pretokens.alias("n_pretokens"), "n_encoded"), "counts")
+    drop(before)
+    return out
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argotlog.llm.tables import fresh, table
+from argotlog.llm.tables import drop, fresh, table
 from argotlog.llm.words import LETTERS_DIGITS, words
 
 # Texts of a segment, and test texts sent to all tasks at once, in bytes; a segment or block is at least one text.
@@ -262,6 +262,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", car
     rows = documents_of(index, list(carry)).join(by_doc, ["segment", "at"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce(_words_hit(F.col("spans")), F.lit(0).cast("bigint"))
-    return rows.select(
-        *carry, "n_words", hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated")
+    out = table(
+        rows.select(*carry, "n_words", hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (hit > 0).alias("contaminated")),
+        "contamination",
     )
+    drop(index, hits)
+    return out

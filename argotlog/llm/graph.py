@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argotlog.llm.tables import table
+from argotlog.llm.tables import drop, table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     state = None
     while True:
-        edges = table(point(point(edges, True), False), "links")
+        before = edges
+        edges = table(point(point(before, True), False), "links")
+        drop(before)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == state:
             break

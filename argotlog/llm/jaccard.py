@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argotlog.llm.graph import components
-from argotlog.llm.tables import fresh, table
+from argotlog.llm.tables import drop, fresh, table
 from argotlog.llm.words import NOT_SPACE, U64, mix, shingles_by_text, sorted_sets, words
 
 # At most so many shingles, the most common ones, have a place of their own in the order; it is a bound on what is broadcast.
@@ -98,6 +98,7 @@ def _order(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         left, least = left - row["count"], row["level"]
     got = counts.where(level >= least).toPandas()
+    drop(counts)
     values, n = got["shingle"].to_numpy(np.int64).view(np.uint64), got["sets"].to_numpy(np.int64)
     by = np.argsort(values)
     return values[by], n[by]
@@ -199,7 +200,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, members: DataFrame, key
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
     found = near.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, common bigint, both bigint, linked boolean")
-    return table(found, "verified")
+    out = table(found, "verified")
+    drop(near, sets)
+    return out
 
 
 def _possible(percent: int, size_a: Column, at_a: Column, size_b: Column, at_b: Column) -> Column:
@@ -217,7 +220,7 @@ def _open(entries: DataFrame, reached: DataFrame) -> DataFrame:
 
 def _hubs(entries: DataFrame, reached: DataFrame, stars: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """A new pivot for each list that is left, the set nearest to all pivots so far, and the pairs with it that are not answered."""
-    still = _open(entries, reached)
+    still = _open(entries.select("shingle", "id", "size", "at", "pivot"), reached)
     centre = stars.groupBy(F.col("b").alias("id")).agg(F.sum(F.col("common") / F.col("both")).alias("weight"))
     ranked = still.where("id <> pivot").join(centre, "id", "left")
     best = F.struct(F.coalesce("weight", F.lit(0.0)).alias("weight"), "id", "size", "at", "component")
@@ -225,7 +228,8 @@ def _hubs(entries: DataFrame, reached: DataFrame, stars: DataFrame, percent: int
     chosen = table(still.join(hub, "shingle").withColumn("pivot", F.col("hub.id")), "hubs")
     h = F.col("hub")
     asked = chosen.where((h["component"] != F.col("component")) & _possible(percent, h["size"], h["at"], F.col("size"), F.col("at")))
-    return chosen.drop("hub", "component"), asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    drop(still)
+    return chosen, asked.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _rest(left_over: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -263,21 +267,28 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     prefixes = table(_prefixes(source, k, percent, common), "prefixes")
     lists = prefixes.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle"), "entries")
+    drop(prefixes)
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, source, k, members, names[0], percent)
 
-    stars = verified(entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    done = [verified(entries.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())]
+    stars = done[0]
     links = stars.where("linked").select("a", "b")
     reached = table(components(links), "reached")
     left_over = entries
     for _ in range(HUB_ROUNDS):
-        left_over, pairs = _hubs(left_over, reached, stars, percent)
-        stars = stars.unionByName(verified(pairs))
+        chosen, pairs = _hubs(left_over, reached, stars, percent)
+        done.append(verified(pairs))
+        drop(left_over, reached)
+        left_over, stars = chosen, stars.unionByName(done[-1])
         links = stars.where("linked").select("a", "b")
         reached = table(components(links), "reached")
-    pairs = _rest(_open(left_over, reached), stars, percent)
-    reached = table(components(links.unionByName(verified(pairs).where("linked").select("a", "b"))), "reached")
+    rest = _open(left_over.drop("hub", "component"), reached)
+    done.append(verified(_rest(rest, stars, percent)))
+    drop(left_over, rest, reached)
+    reached = table(components(links.unionByName(done[-1].where("linked").select("a", "b"))), "reached")
+    drop(*done)
 
     labelled = members.join(reached.withColumnRenamed("id", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     least = labelled.where("n > 0").groupBy("component").agg(F.min(names[0]).alias("component_id"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argotlog.llm.tables import fresh, keyed, table
+from argotlog.llm.tables import drop, fresh, keyed, table
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,6 +68,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     model = again.where("is_first").select("hash", F.col("chunk").alias("bytes"))
     removed = again.where("not is_first").join(model, "hash").where(F.col("chunk") == F.col("bytes"))
     by_row = table(removed.groupBy("row").agg(F.collect_set("first").alias("gone")), "gone")
+    drop(often, again)
 
     joined = base.join(by_row.select(F.col("row").alias(row), F.col("gone").alias(gone)), row, "left")
     whole = joined.withColumn(lines, lines_of(F.col(f"`{text}`").cast("string")))

@@ -37,7 +37,17 @@ def table(df: DataFrame, label: str = "table", compression: str = "lz4_raw") ->
     path = scratch_path(spark, label)
     with _settings(spark, _WRITING):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that `table` has written and that no frame in use reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._scratch)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

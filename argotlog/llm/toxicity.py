@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from argotlog.llm.tables import fresh, table
+from argotlog.llm.tables import drop, fresh, table
 from argotlog.llm.words import LETTERS_DIGITS, U64, Words, give_back, mix, words
 
 # Features live in a fixed space: the first half is for single words, the second for pairs.
@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl | None = None, rows: int =
         mean = used.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).orderBy("feature").toPandas()
         z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
         z[mean["feature"]], n[mean["feature"]] = mean["z"], mean["n"]
+    drop(train)
     penalty = np.full(SPACE + 1, how.l1)
     penalty[-1] = 0
     weight = np.where(np.abs(z) <= penalty, 0.0, (np.sign(z) * penalty - z) / ((how.beta + np.sqrt(n)) / how.alpha + how.l2))
