@@ -26,7 +26,7 @@ from argotlog.llm.words import give_back
 BLANK = "▁"
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 # Characters of texts that are encoded together.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 2_000_000
 _NEVER = np.iinfo(np.int64).max
 
 
