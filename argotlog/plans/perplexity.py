@@ -15,9 +15,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPARSE = "v struct<indices:array<int>,values:array<double>>"
-
-
 def _special_functions():
     """(digamma, log gamma) for positive arrays: shifted to large arguments, then the asymptotic series."""
 
@@ -81,8 +78,7 @@ def log_perplexity(model: LDAModel, vectors: DataFrame) -> float:
             totals.append(n)
         return pd.DataFrame({"bound": bounds, "tokens": totals})
 
-    # A sparse vector has no accessor in SQL; its JSON form shows the indices and values.
-    sparse = F.from_json(F.to_json(F.struct(F.col("features").alias("v"))), _SPARSE)["v"]
+    sparse = F.unwrap_udt("features")
     documents = model.transform(vectors.select("features")).select(
         vector_to_array("topicDistribution").alias("theta"), sparse.alias("sparse")
     )

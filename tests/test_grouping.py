@@ -76,3 +76,19 @@ def test_rows_get_their_group(spark):
         "reg.exe q": "reg.exe q",
         "": "",
     }
+
+
+def test_character_counts_bound_the_common_subsequence():
+    common, bounds, rng = G.make_similarity(), G.make_bound(), random.Random(2)
+    texts = ["".join(rng.choices("abcdé中 -", k=rng.randint(0, 20))) for _ in range(60)]
+    for a in texts:
+        assert all(bound >= common(a, b) for b, bound in zip(texts, bounds(a, texts).tolist()))
+
+
+def test_many_unlike_templates_of_one_root(spark):
+    rng = random.Random(9)
+    rows = [("a.exe", "a.exe " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24)), 1) for _ in range(1500)]
+    templates = spark.createDataFrame(rows, "bucket string, template string, n bigint")
+    leaders = G.find_leaders(templates, 80)
+    groups = G.assign_leaders(templates, leaders, 80)
+    assert groups.count() == len({r[1] for r in rows}) and groups.where("template <> command_group").count() == 0

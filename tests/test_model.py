@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from argotlog.operators.coherence import WINDOWS, model_coherence
+from argotlog.operators.coherence import WINDOWS, model_coherence, window_contents
 from argotlog.plans import model as M
 from argotlog.plans.perplexity import log_perplexity
 
@@ -105,3 +105,15 @@ def test_coherence_prefers_words_that_occur_together(spark, planted):
         assert score[1] > score[2], measure
     with pytest.raises(ValueError, match="unknown coherence"):
         model_coherence(topics, planted, "nope")
+
+
+def test_windows_of_a_long_document(spark):
+    rng = random.Random(4)
+    tokens = [rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(2000)]
+    words = ["a1", "b2", "c3", "d4"]
+    expected = {}
+    for start in range(len(tokens) - 110 + 1):
+        key = tuple(sorted(set(tokens[start : start + 110]) & set(words)))
+        expected[key] = expected.get(key, 0) + 1
+    df = spark.createDataFrame([(tokens,)], "tokens array<string>")
+    assert {tuple(r.content): r.n for r in window_contents(df, words, 110).collect()} == expected

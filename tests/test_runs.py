@@ -140,3 +140,22 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out")).select(columns)
     batch = score_stream(corpus, model, ["reg.exe"]).select(columns)
     assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
+
+
+def test_csv_columns_are_found_by_name_in_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("command_line,user\ncmd.exe /c whoami,alice\n")
+    (tmp_path / "b.csv").write_text('\ufeff"user",command_line\nbob,"dir ""x"""\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("")
+    rows = tables.read_csv(spark, str(tmp_path), with_file=True).collect()
+    assert {(r.command_line, r.source_file[-5:]) for r in rows} == {("cmd.exe /c whoami", "a.csv"), ('dir "x"', "b.csv")}
+    (tmp_path / "d.csv").write_text("user,other\nx,y\n")
+    with pytest.raises(KeyError, match="d.csv"):
+        tables.read_csv(spark, str(tmp_path))
+
+
+def test_output_folders_are_told_apart():
+    from argotlog.plans.run import _names
+
+    assert _names(["x/logs.csv", "y/logs.csv"]) == ["x-logs", "y-logs"] and _names(["a/one.csv", "a/two.csv"]) == ["one", "two"]
+    with pytest.raises(ValueError, match="twice"):
+        _names(["a.csv", "a.csv"])
