@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from argotlog.functions.patterns import Rule
 from argotlog.plans.model import NUM_TOPICS, PASSES, SEED
 from argotlog.plans.run import Options, Result, run
-from argotlog.session import session
+from argotlog.session import session, temporary_tables
 from argotlog.sources import synthetic, tables
 
 
@@ -71,4 +71,5 @@ def main(arguments: Sequence[str] | None = None) -> Result:
 
 
 if __name__ == "__main__":
-    main()
+    with temporary_tables(session("argotlog")):
+        main()

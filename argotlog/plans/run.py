@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Rule
 from ..operators import grouping, labels, quality, report, risk, sampling, terms, topics
-from ..session import materialize
+from ..session import materialize, temporary_tables
 from ..sources import knowledge as kb
 from ..sources import synthetic, tables
 from . import model as M
@@ -231,6 +231,7 @@ def run_files(spark: SparkSession, paths: Sequence[str], output: str, options: O
     folders = {}
     for path, name in zip(paths, _names(paths)):
         folder = f"{output.rstrip('/')}/{name}"
-        run(spark, tables.read_csv(spark, path), options).save(folder)
+        with temporary_tables(spark):
+            run(spark, tables.read_csv(spark, path), options).save(folder)
         folders[path] = folder
     return folders

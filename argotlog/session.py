@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of the runs that are going on, the innermost last.
+_runs: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below that of the run that is going on."""
+    base = _runs[-1] if _runs else shared_folder(spark)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end all tables that are materialised meanwhile; frames that read them are of no use afterwards."""
+    folder = scratch_path(spark, "run")
+    _runs.append(folder)
+    try:
+        yield
+    finally:
+        _runs.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
