@@ -25,8 +25,9 @@ from argotlog.llm.words import give_back
 
 BLANK = "▁"
 _STRETCH = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-# Characters of texts that are encoded together.
-BATCH_CHARS = 2_000_000
+# Characters of texts of which each distinct stretch is encoded once, and of stretches that share a suffix array.
+BATCH_CHARS = 3_000_000
+INDEX_CHARS = 400_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -193,13 +194,23 @@ class Encoder:
             answer[known] = self.pairs[at[known]] & 1
         if len(new):
             answer[~known] = can_follow(self.v, new >> 20, new & 0xFFFFF)
-            if len(self.pairs) > 4_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs = self.pairs[:0]
             self.pairs = np.sort(np.concatenate([self.pairs, new << 1 | answer[~known]]))
         return answer[back]
 
     def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by stretch)."""
+        group = np.cumsum([0, *map(len, stretches)])[:-1] // INDEX_CHARS
+        edges = [*np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist(), len(stretches)] if len(group) else [0]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            got, at = self._encode(stretches[a:b])
+            ids.append(got)
+            sizes.append(np.diff(at))
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         v = self.v
         by_hand = {i: self._by_hand(s) for i, s in enumerate(stretches) if s.startswith(BLANK * 2)}
         lengths = np.array([0 if i in by_hand else len(s) for i, s in enumerate(stretches)], dtype=np.int64)
@@ -221,19 +232,20 @@ class Encoder:
             order = _suffixes(chars, width)
             lo, hi = _occurrences(chars, order, pieces, self.size[usable])
             count = hi - lo
-            owner = np.repeat(np.arange(len(usable)), count)
-            begin = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[owner]]
-            piece = usable[owner]
+            owner = np.repeat(np.arange(len(usable), dtype=np.int32), count)
+            begin = order.astype(np.int32)[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)]
+            piece = usable.astype(np.int32)[owner]
+            del order, owner
             # A character that is no piece is an edge of its own.
             single = np.zeros(len(alphabet) + 1, dtype=bool)
             ones = usable[self.size[usable] == 1]
             single[place[first[ones]] + 1] = True
             odd = np.flatnonzero(~single[chars])
-            begin, piece = np.concatenate([begin, odd]), np.concatenate([piece, np.full(len(odd), v.unknown)])
-            size = np.append(self.size, 1)[piece]
+            begin, piece = np.concatenate([begin, odd.astype(np.int32)]), np.concatenate([piece, np.full(len(odd), v.unknown, np.int32)])
+            size = np.append(self.size, 1).astype(np.int32)[piece]
             owner_of = np.repeat(np.arange(len(lengths)), lengths)
-            offset = np.arange(n) - start[owner_of]
-            inside = offset[begin] + size <= lengths[owner_of[begin]]
+            offset = (np.arange(n) - start[owner_of]).astype(np.int32)
+            inside = offset[begin] + size <= lengths[owner_of].astype(np.int32)[begin]
             begin, piece, size = begin[inside], piece[inside], size[inside]
             finish = offset[begin] + size
             by = np.argsort(finish.astype(np.uint16) if n < 1 << 16 or finish.max() < 1 << 16 else finish, kind="stable")
@@ -246,7 +258,7 @@ class Encoder:
                 before = np.where(offset[at] > 0, last[at - 1], -2)
                 good = before == -2
                 rest = np.flatnonzero(before >= 0)
-                good[rest] = self._can_follow(before[rest], what[rest])
+                good[rest] = self._can_follow(before[rest], what[rest].astype(np.int64))
                 last[at[good] + long_[good] - 1] = what[good]
             end_piece = last
         return self._collect(stretches, by_hand, lengths, start, code, end_piece)
@@ -326,25 +338,49 @@ def _encode_texts(encoder: Encoder, texts: list[str | None]) -> tuple[np.ndarray
     return out, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
 
 
+class Decoder:
+    """Bytes of ids; U+FFFD for ids outside the vocabulary."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        texts = [*vocabulary.text_of_id, "\ufffd".encode()]
+        self.other = len(texts) - 1
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.frombuffer(b"".join(texts), dtype=np.uint8)
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        ids = np.where((ids < 0) | (ids >= self.other), self.other, ids)
+        n = self.size[ids]
+        end = np.cumsum(n)
+        return self.pool[np.arange(end[-1] if len(end) else 0) + np.repeat(self.start[ids] - end + n, n)].tobytes()
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.raw(ids).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def encoded(spark, vocabulary: Vocabulary, text: Column) -> Column:
-    """Ids of whole texts, as array<int>; null stays null, the empty text has none."""
+    """(ids: of the whole text; same: do they decode to it?); null stays null ids, the empty text has none."""
     sent = spark.sparkContext.broadcast(vocabulary)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(sent.value)
+        encoder, decoder = Encoder(sent.value), Decoder(sent.value)
         for column in columns:
             sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy()
             group = np.cumsum(sizes) // BATCH_CHARS
             edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(1, np.int64)
-            ids, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            ids, offsets, same, before = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], 0
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(column)], strict=True):
-                got, at = _encode_texts(encoder, column.slice(a, b - a).to_pylist())
-                offsets.append(at[1:] + sum(map(len, ids)))
+                texts = column.slice(a, b - a).to_pylist()
+                got, at = _encode_texts(encoder, texts)
+                same += [t is None or decoder.text(got[lo:hi]) == t for t, lo, hi in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                offsets.append(at[1:] + before)
                 ids.append(got)
-            at = pa.array(np.concatenate(offsets).astype(np.int32), mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False)) if column.null_count else np.concatenate(offsets).astype(np.int32)
-            yield pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids)))
-            del ids, offsets, got, at
+                before += len(got)
+            at = np.concatenate(offsets).astype(np.int32)
+            at = pa.array(at, mask=np.append(column.is_null().to_numpy(zero_copy_only=False), False)) if column.null_count else at
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids))), pa.array(same, pa.bool_())], names=["ids", "same"])
+            del ids, offsets, got, at, same, texts
             give_back()
 
     return encode(text)
@@ -357,22 +393,9 @@ def decoded(spark, vocabulary: Vocabulary, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        texts = [*sent.value.text_of_id, "�".encode()]
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        start = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        decoder = Decoder(sent.value)
         for column in columns:
-            out: list[str | None] = []
-            for row in column:
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                got = row.values.fill_null(-1).to_numpy()
-                got = np.where((got < 0) | (got >= len(texts) - 1), len(texts) - 1, got)
-                n = size[got]
-                end = np.cumsum(n)
-                raw = pool[np.arange(end[-1] if len(end) else 0) + np.repeat(start[got] - end + n, n)].tobytes()
-                out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+            out = [decoder.text(row.values.fill_null(-1).to_numpy()) if row.is_valid else None for row in column]
             yield pa.array(out, pa.string())
             del out
             give_back()
@@ -389,5 +412,5 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Da
     spark = docs.sparkSession
     name = fresh(docs.columns, "_ids")[0]
     found = docs.withColumn(name, encoded(spark, vocabulary, F.col(f"`{text}`").cast("string")))
-    same = decoded(spark, vocabulary, F.col(name)).eqNullSafe(F.col(f"`{text}`").cast("string"))
-    return found.withColumns({"ids": F.col(name), "n_tokens": F.coalesce(F.size(name), F.lit(0)).cast("bigint"), "same": same}).drop(name)
+    ids = F.col(name)["ids"]
+    return found.withColumns({"ids": ids, "n_tokens": F.when(ids.isNull(), F.lit(0)).otherwise(F.size(ids)).cast("bigint"), "same": F.col(name)["same"]}).drop(name)
