@@ -19,3 +19,21 @@ def test_a_long_text_may_have_a_passage_twice(spark):
     got = {r["doc_id"]: r for r in near_passages(frame(spark, rows)).collect()}
     assert got[0]["n_passages"] == 2 and {r["class_id"] for r in got.values()} == {0}
     assert all(covers(got[key], starts) for key, starts in brute.repeated(rows).items())
+
+
+def test_chains_of_passages_are_one_class(spark):
+    # Of 46 shingles 41 must be common. Neighbours differ in 3, 3 and 4 of them, all others in 6 or 7.
+    rng, rows, expected = random.Random(5), [], {}
+    for _ in range(12):
+        passages = [prose(rng, 50)]
+        for place in (2, 47, 3):
+            passages.append([*passages[-1][:place], f"new{rng.random()}", *passages[-1][place + 1 :]])
+        first = len(rows)
+        # The ends come first and hold other passages too, so they are pivots before the middle is.
+        for i in (3, 0, 1, 2):
+            rows.append((len(rows), " ".join(passages[i] + (prose(rng, 300) if i in (0, 3) else []))))
+        for i in (0, 1):
+            rows.append((len(rows), " ".join([*prose(rng, 5), *rows[first + i][1].split()[55:]])))
+        expected |= {key: first for key, _ in rows[first:]}
+    got = {r["doc_id"]: r["class_id"] for r in near_passages(frame(spark, rows)).collect()}
+    assert got == expected
