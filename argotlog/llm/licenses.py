@@ -1,26 +1,20 @@
 """License scans: which documents carry the text or the notice of a known license.
 
-Texts are cut into windows of eight five-word shingles that overlap by half, templates into windows at every place.  A window's MinHash under each of
-``HASHES`` functions is a band of its own, so two windows meet if any one of the minima is the same.  A window inside a verbatim copy always
-meets its template window; a notice that is a single shingle of its window is met by one of the two windows around it with a probability
-of 1 - (7/8) ** (2 * HASHES), that is 0.998 for 24 bands.  What is retrieved is verified: the share of the template's shingles that occur around the
-window must reach the threshold, exactly.  A text without a single shingle of any template can meet none, so no minima are drawn from it.  Only
-built-in functions are used.
+Texts are cut into blocks of four five-word shingles.  A block that has a shingle of a template is retrieved for it, so a copy of any length
+and at any place is met; nothing is left to chance.  What is retrieved is verified: the share of the template's shingles that occur around the
+block must reach the threshold, exactly.  Texts without a single shingle of any template end early.  Only built-in functions are used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-HASHES = 24
-# Shingles in half a window.
-HALF = 4
-_MASKS = [int(x) for x in np.random.Generator(np.random.PCG64(5)).integers(-(2**63), 2**63, HASHES)]
+# Shingles in a block.
+BLOCK = 4
 
 # Public license texts (openings and conditions) and customary notices.
 TEMPLATES = {
@@ -76,67 +70,44 @@ def shingles_of(text: Column) -> Column:
     return _let(found, runs)
 
 
-def _minima(blocks: Column, mask: int) -> Column:
-    """MinHash of each block; the order of hashes under an exclusive or with random bits is a random order."""
-    return F.transform(blocks, lambda b: F.array_min(F.transform(b, lambda x: x.bitwiseXOR(F.lit(mask)))))
-
-
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """(license, shingles: distinct ones, bands: array of (hash function, minimum)) of templates of five words or more."""
+    """(license, shingles: distinct ones) of templates of five words or more."""
     given = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, text string")
     cut = given.select("license", shingles_of(F.col("text")).alias("all")).where(F.size("all") > 0)
-    width = 2 * HALF
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0)))
-    windows = cut.withColumn("windows", F.transform(starts, lambda i: F.slice(F.col("all"), i + 1, width)))
-
-    def band(j: int) -> Column:
-        return F.transform(_minima(F.col("windows"), _MASKS[j]), lambda x: F.struct(F.lit(j).alias("hash"), x.alias("least")))
-
-    bands = F.flatten(F.array(*(band(j) for j in range(HASHES))))
-    return windows.select("license", F.array_distinct("all").alias("shingles"), F.array_distinct(bands).alias("bands"))
+    return cut.select("license", F.array_distinct("all").alias("shingles"))
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, text: str = "text", key: str = "doc_id", containment: float = 0.8) -> DataFrame:
     """(``key``, license, containment, position) of all documents that carry a template.
 
-    ``containment`` is the largest share of the template's distinct shingles that occur within a template's length of a retrieved window,
-    ``position`` the first such window's shingle.  Rows of one key are reported together, null keys too.  Texts that are null or have fewer than five
-    words match nothing.  ``templates`` (as ``template_table`` gives them) are few: their minima become part of the plan.
+    ``containment`` is the largest share of the template's distinct shingles that occur within a template's length of a retrieved block,
+    ``position`` the first such block's shingle.  Rows of one key are reported together, null keys too.  Texts that are null or have fewer than five
+    words match nothing.  ``templates`` (as ``template_table`` gives them) are few: their shingles become part of the plan.
     """
     spark = docs.sparkSession
     templates = templates if templates is not None else template_table(spark)
     rows = templates.collect()
     longest = max((len(r["shingles"]) for r in rows), default=0)
-    minima: list[set[int]] = [set() for _ in range(HASHES)]
-    for r in rows:
-        for band in r["bands"]:
-            minima[band["hash"]].add(band["least"])
     known = spark.createDataFrame([(r["license"], r["shingles"]) for r in rows], "license string, shingles array<bigint>")
-    bands = spark.createDataFrame([(r["license"], b["hash"], b["least"]) for r in rows for b in r["bands"]], "license string, hash int, least bigint")
 
     every = sorted({s for r in rows for s in r["shingles"]})
     cut = docs.select(F.col(f"`{key}`").alias("key"), shingles_of(F.col(f"`{text}`").cast("string")).alias("all"))
     # The texts left are few; all that follows is for them alone.
     cut = cut.where(F.exists("all", lambda x: x.isin(*every)) if every else F.lit(False))
 
-    def met(blocks: Column) -> Column:
-        def one(j: int) -> Column:
-            def windows(least: Column) -> Column:
-                both = F.transform(least, lambda x, i: F.struct((i * HALF).alias("position"), F.lit(j).alias("hash"), F.least(x, F.get(least, i + 1)).alias("least")))
-                return F.filter(both, lambda w: w["least"].isin(*minima[j]) if minima[j] else F.lit(False))
-
-            return _let(_minima(blocks, _MASKS[j]), windows)
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(BLOCK))
 
-        return F.flatten(F.array(*(one(j) for j in range(HASHES))))
+    def met(license: str, shingles: list[int]) -> Column:
+        blocks = F.transform(starts, lambda i: F.struct(i.alias("position"), F.lit(license).alias("license")))
+        return F.filter(blocks, lambda w: F.exists(F.slice("all", w["position"] + 1, BLOCK), lambda x: x.isin(*shingles)))
 
-    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(HALF))
-    blocks = cut.withColumn("blocks", F.transform(starts, lambda i: F.slice(F.col("all"), i + 1, HALF)))
-    hits = blocks.select("key", "all", F.explode(met(F.col("blocks"))).alias("w"))
-    around = F.slice("all", F.greatest(F.col("w.position") - longest, F.lit(0)) + 1, F.lit(2 * longest + 2 * HALF))
-    found = hits.select("key", around.alias("around"), "w.*").join(bands, ["hash", "least"]).join(known, "license")
+    none = F.array().cast("array<struct<position:int,license:string>>")
+    hits = cut.select("key", "all", F.explode(F.flatten(F.array(none, *(met(r["license"], r["shingles"]) for r in rows)))).alias("w"))
+    around = F.slice("all", F.greatest(F.col("w.position") - longest, F.lit(0)) + 1, F.lit(2 * longest + 2 * BLOCK))
+    found = hits.select("key", around.alias("around"), "w.*").join(known, "license")
     own = F.size("shingles")
     near = F.slice(
-        "around", F.greatest(F.least(F.col("position"), F.lit(longest)) - own, F.lit(0)) + 1, 2 * own + 2 * HALF
+        "around", F.greatest(F.least(F.col("position"), F.lit(longest)) - own, F.lit(0)) + 1, 2 * own + 2 * BLOCK
     )
     share = F.size(F.array_intersect("shingles", near)) / own
     matched = found.select("key", "license", share.alias("containment"), "position").where(F.col("containment") >= containment)

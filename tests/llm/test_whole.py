@@ -2,6 +2,7 @@
 
 import random
 
+from argotlog.llm.licenses import TEMPLATES, scan_licenses
 from argotlog.llm.passages import near_passages
 from tests.llm import brute
 from tests.llm.test_operators import frame, prose
@@ -37,3 +38,10 @@ def test_chains_of_passages_are_one_class(spark):
         expected |= {key: first for key, _ in rows[first:]}
     got = {r["doc_id"]: r["class_id"] for r in near_passages(frame(spark, rows)).collect()}
     assert got == expected
+
+
+def test_short_notices_are_met_at_any_place(spark):
+    rng, notice = random.Random(2), TEMPLATES["MIT notice"].split()
+    rows = [(i, " ".join(prose(rng, i % 40) + notice + prose(rng, rng.randrange(30)))) for i in range(800)]
+    found = {r["doc_id"] for r in scan_licenses(frame(spark, rows)).where("license = 'MIT notice'").collect()}
+    assert found == set(range(800))
