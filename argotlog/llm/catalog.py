@@ -14,15 +14,19 @@ from argotlog.llm.linededup import dedup_lines
 from argotlog.llm.lmscore import backoff_scores
 from argotlog.llm.passages import near_passages
 from argotlog.llm.perplexity import quality
+from argotlog.llm.search import ranked
 from argotlog.llm.sentencepiece import load, tokenized
 from argotlog.llm.tables import drop, table
 from argotlog.llm.tokencount import counted, recounted
+from argotlog.llm.tokenfiles import token_files
 from argotlog.llm.toxicity import held_out, scored
+from argotlog.llm.whitening import whitened
 
 
 # Public tokenizer files; the driver reads them, the tasks get their contents.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 # Fixed value: the pattern that belongs to the ranks.
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -84,6 +88,22 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_passages(_table(spark, folder, "documents"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    with open(WORD_TOKENIZER, encoding="utf-8") as file:
+        definition = file.read()
+    _, found = token_files(_table(spark, folder, "documents").select("doc_id", "text"), definition)
+    return found
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitened(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -95,6 +115,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -103,4 +126,5 @@ SQL: dict[str, str] = {
     "op3_line_dedup": sql.LINE_DEDUP,
     "op5_benchmark_decontamination": sql.DECONTAMINATION,
     "op9_ngram_jaccard_join": sql.JACCARD,
+    "op13_ranked_search": sql.RANKED_SEARCH,
 }

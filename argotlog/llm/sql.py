@@ -66,3 +66,20 @@ t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE k = 1) AS n_ord
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_order1, 0) AS n_order1, coalesce(n_order2, 0) AS n_order2,
        coalesce(n_order3, 0) AS n_order3, score FROM documents LEFT JOIN t USING (doc_id)
 """
+
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, list_filter({_TERMS}, lambda x: x <> '') AS ts FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(ts) AS term FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+s AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+m AS (SELECT doc_id, 100 - 75 + ((75 * len(ts) * n) // l) AS m FROM d, s WHERE len(ts) > 0),
+q AS (SELECT row_number() OVER () AS item, item_id, list_filter({_TERMS}, lambda x: x <> '') AS ts FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(ts) AS term FROM q) GROUP BY 1, 2, 3),
+c AS (SELECT item, item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM p JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2, 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
