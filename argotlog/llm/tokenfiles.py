@@ -10,8 +10,11 @@ shard, whole; a text without tokens, empty or null, is a document that holds the
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,23 +35,60 @@ END = 1
 SHARD_TOKENS = 1 << 22
 # Tokens that a task of the sorted order is meant to take.
 TASK_TOKENS = 1 << 24
-# Words whose ids a worker remembers.
-REMEMBERED = 300_000
+# Words and pieces whose ids a worker remembers.
+REMEMBERED = 600_000
+# Fixed value: the pattern by which word tokenizers with word ends split lower-cased text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Encoder:
     """Ids of whole texts by those of their words.
 
     No merge, no normalisation and no pattern of the tokenizer reaches over an ASCII blank, so a text's ids are those of its blank-separated
-    pieces, one after the other; each distinct piece of a batch is encoded once.
+    words, one after the other; each distinct word of a batch is encoded once.  A word of Latin letters, and marks behind them that are not part of
+    an ending after an apostrophe, is two pieces whatever they are; for the letters, the normalisation and the pattern do no more than lower the case, so they
+    go straight to the tokenizer's merges, in the characters that stand for their bytes.
     """
 
+    _LETTERS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-;=-@\[-`{-~]*)")
+
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
+        self._merged = self._tokenizer.model.tokenize
+        parts = json.loads(definition)
+        pattern = parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if parts["pre_tokenizer"]["type"] == "Sequence" else ""
+        # The short way holds for this kind of tokenizer only; any other takes the long one for every word.
+        self._short = pattern == WORD_PATTERN and [n["type"] for n in parts["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        # Characters of the bytes: themselves if they print in Latin-1, else from 256 on in order.
+        prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self._byte = {b: (b if b in prints else 256 + i) for i, b in enumerate([*(b for b in range(256) if b not in prints), *prints])}
         self._known: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, letters: str) -> bytes:
+        mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self._byte)
+        found = self._pieces[letters] = array("I", [token.id for token in self._merged(mapped)]).tobytes()
+        return found
+
+    def _whole(self, words: list[str]) -> None:
+        for word, found in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self._known[word] = array("I", found.ids).tobytes()
+
+    def _words(self, distinct: list[str]) -> list[bytes]:
+        if len(self._known) + len(self._pieces) > REMEMBERED:
+            self._known, self._pieces = {}, {}
+        known, pieces = self._known, self._pieces
+        split = {w: self._LETTERS.fullmatch(w) if self._short else None for w in distinct if w not in known}
+        self._whole(list({w if m is None else m[2] for w, m in split.items()} - known.keys()))
+        for word, m in split.items():
+            if m is not None:
+                letters, marks = m.groups()
+                letters = letters.lower()
+                known[word] = (pieces.get(letters) or self._piece(letters)) + known[marks]
+        return [known[w] for w in distinct]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text); null is the empty text."""
@@ -56,14 +96,7 @@ class _Encoder:
         ends = pieces.offsets.to_numpy().astype(np.int64)
         words = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends -= ends[0]
-        distinct = words.dictionary.to_pylist()
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        known = self._known
-        new = [w for w in distinct if w not in known]
-        for word, found in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, np.uint32).tobytes()
-        parts = [known[w] for w in distinct]
+        parts = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         every = np.frombuffer(b"".join(parts), np.uint32)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -88,7 +121,7 @@ def encoded(docs: DataFrame, definition: str, text: str = "text", key: str = "do
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             column = b.column(1).cast(pa.large_string())
-            for begin, stop, _, _ in chunks(column, 1 << 22):
+            for begin, stop, _, _ in chunks(column, 1 << 23):
                 ids, at = coder.ids(column.slice(begin, stop - begin))
                 packed, crc = [], []
                 for i in range(stop - begin):

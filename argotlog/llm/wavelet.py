@@ -43,10 +43,10 @@ def encode(ids: np.ndarray, ends: np.ndarray, keys: np.ndarray, null: np.ndarray
         packed = np.packbits(one).tobytes()
         step = BLOCK_BITS // 8
         blocks = [_pack(packed[at : at + step]) for at in range(0, len(packed), step)]
-        before = np.cumsum(np.add.reduceat(one, np.arange(0, len(one), BLOCK_BITS), dtype=np.int64)) if len(one) else np.zeros(0, np.int64)
-        ones = np.concatenate([[0], before])
+        high = np.flatnonzero(one)
+        ones = np.searchsorted(high, np.append(np.arange(0, len(one), BLOCK_BITS), len(one)))
         out += [struct.pack("<q", len(one) - int(ones[-1])), ones.astype("<i8").tobytes(), np.array([len(b) for b in blocks], "<i4").tobytes(), *blocks]
-        row = np.concatenate([row[~one], row[one]])
+        row = np.concatenate([row[np.flatnonzero(~one)], row[high]])
     return b"".join(out)
 
 
@@ -165,7 +165,8 @@ class Shard:
             raw = b"".join(self._raw(plane, block) for block in range(blocks))
             one = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n_tokens).astype(bool)
             above = np.empty_like(ids)
-            above[~one], above[one] = ids[: self._zeros[plane]], ids[self._zeros[plane] :]
-            above[one] |= ids.dtype.type(1 << (self.planes - 1 - plane))
+            zeros = self._zeros[plane]
+            above[np.flatnonzero(~one)] = ids[:zeros]
+            above[np.flatnonzero(one)] = ids[zeros:] | ids.dtype.type(1 << (self.planes - 1 - plane))
             ids = above
         return ids.astype(np.uint32)
