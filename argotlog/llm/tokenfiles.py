@@ -10,6 +10,7 @@ shard, whole; a text without tokens, empty or null, is a document that holds the
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -119,6 +120,7 @@ def encoded(docs: DataFrame, definition: str, text: str = "text", key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(sent.value)
         row = TaskContext.get().partitionId() << 33
+        gc.disable()  # nothing here refers to itself, and the many small objects would be looked through again and again
         for b in batches:
             column = b.column(1).cast(pa.large_string())
             for begin, stop, _, _ in chunks(column, 1 << 23):
@@ -131,6 +133,7 @@ def encoded(docs: DataFrame, definition: str, text: str = "text", key: str = "do
                 n = np.diff(at) + 1
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, stop - begin), pa.array(crc, pa.int64()), pa.array(row + np.arange(stop - begin)), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["key", "crc", "row", "n_tokens", "ids"])
                 row += stop - begin
+        gc.enable()
         give_back()
 
     chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
