@@ -16,7 +16,7 @@ from ..plans.preprocess import analyse, enrich, preprocess
 from ..session import materialize, scratch_path
 from ..sources import knowledge as kb
 from ..sources import tables
-from ..streaming.score import score_stream, write_stream
+from ..streaming.score import score, score_stream, scored_rows, write_stream
 from . import sql as S
 from .corpus import (
     KEYWORDS,
@@ -827,7 +827,7 @@ def _small_model(documents: DataFrame, k: int = NUM_TOPICS) -> M.TopicModel:
 def model_topics_on_rows(spark, folder):
     """Train a topic model on the commands and assign every row its topic."""
     documents = materialize(preprocess(commands(spark, folder)))
-    return _small_model(documents).assign(documents).select("row_id", "topic")
+    return _small_model(documents).assign(documents, key="row_id").select("row_id", "topic")
 
 
 @query()
@@ -839,16 +839,13 @@ def model_topic_words(spark, folder):
 def model_full_batch(spark, folder):
     """Train on all documents in every step and assign topics."""
     documents = materialize(preprocess(commands(spark, folder)))
-    vectors = M.build_dictionary(documents).transform(documents)
-    scored = M.train_full_batch(vectors, 5, max_iter=5).transform(vectors)
-    return scored.select("row_id", topics.argmax(M.vector_to_array("topicDistribution")).alias("topic"))
+    return M.train_full_batch(documents, 5, max_iter=5).assign(documents, key="row_id").select("row_id", "topic")
 
 
 @query()
 def perplexity_by_topics(spark, folder):
     documents = materialize(preprocess(commands(spark, folder)))
-    vectors = M.build_dictionary(documents).transform(documents)
-    _, scores = M.tune_by_perplexity(vectors, (5, 10), max_iter=3)
+    _, scores = M.tune_by_perplexity(documents, (5, 10), max_iter=3)
     return spark.createDataFrame(scores, "num_topics int, perplexity double")
 
 
@@ -876,11 +873,13 @@ def streamed_scores(spark, folder):
     model = _small_model(materialize(preprocess(commands(spark, folder))))
     schema = table(spark, folder, "orders").schema
     orders = spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/orders*.parquet")
-    out = score_stream(commands_of(orders).drop("topic"), model, KEYWORDS)
-    out = out.select("row_id", "topic", "contains_lolbas", "lolbas_count")
     path = scratch_path(spark, "stream")
-    write_stream(out, f"{path}/rows", f"{path}/checkpoint", available_now=True).awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+    score_stream(
+        orders,
+        lambda batch: score(commands_of(batch).drop("topic"), model, KEYWORDS).select("row_id", "topic", "contains_lolbas", "lolbas_count"),
+        f"{path}/rows", f"{path}/checkpoint", available_now=True,
+    ).awaitTermination()
+    return scored_rows(spark, f"{path}/rows")
 
 
 # Two vocabularies, one for even and one for odd orders: a topic model has to tell them apart, which SQL can say without knowing topic numbers.
@@ -908,16 +907,15 @@ def _planted(spark, folder) -> DataFrame:
 def planted_topics(spark, folder):
     """Train on a corpus of two vocabularies and assign every row; rows of one vocabulary must be in one topic."""
     documents = _planted(spark, folder)
-    return _same_topic(materialize(M.train(documents, 2, passes=4, topic_word_prior=0.1).assign(documents)))
+    return _same_topic(materialize(M.train(documents, 2, passes=4, topic_word_prior=0.1).assign(documents, key="row_id")))
 
 
 @query(_PLANTED_SQL)
 def planted_topics_full_batch(spark, folder):
     """The same with all documents in every step."""
     documents = _planted(spark, folder)
-    vectors = M.build_dictionary(documents).transform(documents)
-    scored = M.train_full_batch(vectors, 2, max_iter=15, topic_word_prior=0.1).transform(vectors)
-    return _same_topic(materialize(scored.select("row_id", topics.argmax(M.vector_to_array("topicDistribution")).alias("topic"))))
+    model = M.train_full_batch(documents, 2, max_iter=15, topic_word_prior=0.1)
+    return _same_topic(materialize(model.assign(documents, key="row_id").select("row_id", "topic")))
 
 
 @query(_PLANTED_SQL)
@@ -926,15 +924,38 @@ def planted_topics_streamed(spark, folder):
     orders = table(spark, folder, "orders")
     model = M.train(_planted(spark, folder), 2, passes=4, topic_word_prior=0.1)
     stream = spark.readStream.schema(orders.schema).parquet(f"{folder.rstrip('/')}/orders*.parquet")
-    out = model.assign(_planted_of(stream)).select("row_id", "topic")
     path = scratch_path(spark, "stream")
-    write_stream(out, f"{path}/rows", f"{path}/checkpoint", available_now=True).awaitTermination()
-    return _same_topic(spark.read.schema(out.schema).parquet(f"{path}/rows"))
+    scoring = lambda batch: model.assign(_planted_of(batch)).select("row_id", "topic")
+    score_stream(stream, scoring, f"{path}/rows", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return _same_topic(scored_rows(spark, f"{path}/rows"))
 
 
 @query("SELECT 2 AS num_topics, count(*) AS rows FROM orders")
 def planted_number_of_topics(spark, folder):
     """Of two and eight topics, perplexity prefers the two that were planted; every row counts."""
-    vectors = M.build_dictionary(documents := _planted(spark, folder)).transform(documents)
-    best, _ = M.tune_by_perplexity(vectors, (2, 8), max_iter=10)
+    documents = _planted(spark, folder)
+    best, _ = M.tune_by_perplexity(documents, (2, 8), max_iter=10)
+    return documents.agg(F.lit(best).alias("num_topics"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'alpha beta delta gamma' ELSE 'four one three two' END AS words, count(*) AS rows
+    FROM orders GROUP BY 1""")
+def planted_topic_words(spark, folder):
+    """The four heaviest words of each topic of a model that was saved and loaded, and how many rows it is assigned."""
+    documents = _planted(spark, folder)
+    path = scratch_path(spark, "model")
+    M.train_full_batch(documents, 2, max_iter=15, topic_word_prior=0.1).save(path)
+    model = M.TopicModel.load(path)
+    words = model.top_words(4).groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("words"))
+    rows = model.assign(documents, key="row_id").groupBy("topic").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(F.broadcast(words), "topic").select("words", "rows")
+
+
+@query("SELECT 2 AS num_topics, count(*) AS rows FROM orders")
+def planted_number_of_topics_by_coherence(spark, folder):
+    """Of one and two topics, coherence prefers the two vocabularies of thirty words that were planted; every row counts."""
+    word = lambda i: F.concat(F.lit("w"), F.pmod("o_orderkey", F.lit(2)), F.lit("_"), F.pmod(F.xxhash64("o_orderkey", i), F.lit(30)))
+    documents = table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), F.array(*(word(F.lit(i)) for i in range(12))).alias("tokens"))
+    documents = materialize(documents)
+    best, _ = M.tune_by_coherence(documents, (1, 2), passes=2)
     return documents.agg(F.lit(best).alias("num_topics"), F.count(F.lit(1)).alias("rows"))

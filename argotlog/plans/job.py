@@ -7,6 +7,7 @@ import logging
 from collections.abc import Sequence
 
 from argotlog.functions.patterns import Rule
+from argotlog.operators.coherence import WINDOWS
 from argotlog.plans.model import NUM_TOPICS, PASSES, SEED
 from argotlog.plans.run import Options, Result, run
 from argotlog.session import session, temporary_tables
@@ -23,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--column", default=tables.COMMAND_COLUMN, help="name of the text column")
     p.add_argument("--topics", "-t", type=int, default=NUM_TOPICS, help="number of topics if not tuned")
     p.add_argument("--no-tune", action="store_true", help="use --topics and do not search for the best number")
+    p.add_argument("--tune-measure", default="c_v", choices=[*WINDOWS, "perplexity"], help="what the best number of topics is best in")
     p.add_argument("--tune-rows", type=int, help="tune on an exact sample of this many rows, not on all")
     p.add_argument("--single-line", action="store_true", help="no CSV cell holds a line end, so big files can be split")
     p.add_argument("--isolate-below", type=int, help="model only rows whose every term occurs in this many rows")
@@ -55,6 +57,7 @@ def main(arguments: Sequence[str] | None = None) -> Result:
         num_topics=args.topics,
         seed=args.seed,
         tune=not args.no_tune,
+        tune_measure=args.tune_measure,
         limit=args.limit,
         charts=not args.no_visualize,
         knowledge_path=args.knowledge_base,

@@ -1,25 +1,25 @@
-"""Topic model: dictionary, training, assignment, top words, choice of the number of topics, persistence."""
+"""Topic model: dictionary, training, assignment, top words, choice of the number of topics, persistence.
+
+A model is a table of topic weights by term (module ``lda``) and a few numbers; neither the vocabulary nor the weights pass through the driver or a task.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.coherence import model_coherence
 from ..operators.sampling import sample_exact
-from ..operators.terms import vocabulary
-from ..operators.topics import argmax
-from ..session import materialize
-from .perplexity import log_perplexity
+from ..operators.terms import term_counts, vocabulary
+from ..operators.topics import UNASSIGNED, argmax
+from ..session import discard, materialize
+from . import lda
 
 NUM_TOPICS = 11
 SEED = 42
@@ -28,51 +28,72 @@ TUNING_PASSES = 3
 TUNING_TOPICS = range(5, 50, 2)
 PERPLEXITY_TOPICS = range(5, 51, 5)
 COHERENCE_WORDS = 20
-# A training step takes this share of the documents, whatever their number; each step scans the cached vectors once.
+# A training step takes this share of the documents, whatever their number.
 STEP_SHARE = 0.1
-# The model is a dense topics x terms matrix on the driver and in every task.
-VOCABULARY_LIMIT = 1 << 22
+# Training on all documents ends when the bound grows by less than this share of its size.
+BOUND_TOLERANCE = 1e-6
+FORMAT_VERSION = 1
+_ROW, _TOPIC = "_assigned_row", "_assigned_topic"
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted dictionary and topic model; ``stages`` transforms a frame with ``tokens``, in batch or streaming."""
+    """Fitted topics: weights by term, document prior, term prior."""
 
-    stages: PipelineModel
+    weights: lda.Weights
+    alpha: tuple[float, ...]
+    eta: float
 
     @property
-    def dictionary(self) -> list[str]:
-        return self.stages.stages[0].vocabulary
+    def num_topics(self) -> int:
+        return len(self.alpha)
 
     @property
-    def lda(self) -> LDAModel:
-        return self.stages.stages[1]
+    def vocabulary_size(self) -> int:
+        return self.weights.terms
 
     @property
-    def num_topics(self) -> int:
-        return self.lda.getK()
+    def layout(self) -> lda.Layout:
+        return lda.Layout((self.num_topics,), (self.alpha,), (self.eta,))
 
     def save(self, path: str) -> None:
-        self.stages.write().overwrite().save(path)
+        """``terms`` and ``parameters`` below ``path``, both Parquet; the parameters come last, so a broken save does not load."""
+        spark = self.weights.table.sparkSession
+        self.weights.table.write.mode("overwrite").parquet(f"{path}/terms")
+        row = (FORMAT_VERSION, self.vocabulary_size, list(self.alpha), self.eta, self.weights.totals.tolist())
+        spark.createDataFrame([row], "version int, terms bigint, alpha array<double>, eta double, totals array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters")
 
     @classmethod
     def load(cls, path: str) -> TopicModel:
-        return cls(PipelineModel.load(path))
+        spark = SparkSession.active()
+        row = spark.read.parquet(f"{path}/parameters").first()
+        if row["version"] != FORMAT_VERSION:
+            raise ValueError(f"topic model of version {row['version']}, not {FORMAT_VERSION}")
+        return cls(lda.Weights(spark.read.parquet(f"{path}/terms"), np.array(row["totals"]), row["terms"]), tuple(row["alpha"]), row["eta"])
 
     def top_words(self, n: int = 10) -> DataFrame:
-        """(topic, rank, term, weight); topics x n rows."""
-        terms = self.dictionary
-        rows = [
-            (row.topic, rank, terms[index], float(weight))
-            for row in self.lda.describeTopics(n).collect()
-            for rank, (index, weight) in enumerate(zip(row.termIndices, row.termWeights), 1)
-        ]
-        return SparkSession.active().createDataFrame(rows, "topic int, rank int, term string, weight double").coalesce(1)
-
-    def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``topic``: the most probable topic, the lowest on ties, -1 for a document without known tokens."""
-        scored = self.stages.transform(df)
-        return scored.withColumn("topic", argmax(vector_to_array("topicDistribution"))).drop("features", "topicDistribution")
+        """(topic, rank, term, weight); topics x n rows, equal weights by term."""
+        found = lda.top_terms(self.weights, self.num_topics, n)
+        return found.select(F.col("column").alias("topic"), "rank", "term", "weight")
+
+    def distributions(self, df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+        """(key, theta): expected shares of the topics, for the documents with a known token.  ``key`` tells rows apart."""
+        rows = df.select(F.lit(0).alias("slot"), term_counts(F.col(tokens)).alias("bag"), F.col(key).alias("carried")).where(F.size("bag") > 0)
+        blocks = lda.blocks_of(rows, self.num_topics)
+        found = materialize(lda.distributions(blocks, self.weights, self.layout, df.schema[key].dataType.simpleString()))
+        discard(blocks)
+        return found.withColumnRenamed("carried", key)
+
+    def assign(self, df: DataFrame, key: str | None = None, tokens: str = "tokens") -> DataFrame:
+        """Add ``topic``: the most probable topic, the lowest on ties, -1 for a document without known tokens.
+
+        ``key`` names a column whose values tell the rows apart, of a table that reads the same every time; without one, ``df`` is written with a row number.
+        """
+        if key is None:
+            df = materialize(df.withColumn(_ROW, F.monotonically_increasing_id()))
+        found = self.distributions(df, key or _ROW, tokens).select(F.col(key or _ROW).alias(_ROW), argmax("theta").alias(_TOPIC))
+        joined = df.join(found if key is None else found.withColumnRenamed(_ROW, key), key or _ROW, "left")
+        return joined.withColumn("topic", F.coalesce(_TOPIC, F.lit(UNASSIGNED))).drop(_ROW, _TOPIC)
 
 
 def asymmetric_prior(num_topics: int) -> list[float]:
@@ -81,51 +102,25 @@ def asymmetric_prior(num_topics: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def build_dictionary(df: DataFrame, tokens: str = "tokens", limit: int = VOCABULARY_LIMIT) -> CountVectorizerModel:
-    """Dictionary of all tokens, most frequent first, ties by token, so that token ids do not depend on the layout of the data.
-
-    The words of the model live on the driver, so a corpus with more than ``limit`` distinct tokens is refused, never cut: normalise
-    more (extra rules) or split off rows with rare terms first.
-    """
+def build_dictionary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(term, df, cf) of all tokens, as a table; none is left out, however many there are."""
     found = materialize(vocabulary(df, tokens))
-    counted = found.count()
-    if counted > limit:
-        raise ValueError(f"{counted} distinct tokens are more than a topic model can hold ({limit})")
-    if counted == 0:
+    if found.isEmpty():
         raise ValueError("no tokens to build a dictionary from")
-    terms = [row.term for row in found.orderBy(F.desc("cf"), "term").select("term").collect()]
-    return _vectorizer(terms, tokens)
-
-
-def _vectorizer(terms: list[str], tokens: str) -> CountVectorizerModel:
-    """``CountVectorizerModel.from_vocabulary`` without its one call per term to the JVM: the terms travel as one joined text."""
-    mark = next((c for c in "\n\x00\x01\x02" if not any(c in t for t in terms)), None)
-    if mark is None:
-        return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol="features", minTF=1.0)
-    jvm = SparkSession.active().sparkContext._jvm
-    words = jvm.java.util.regex.Pattern.compile(mark).split(mark.join(terms), -1)
-    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
-    return model.setInputCol(tokens).setOutputCol("features").setMinTF(1.0)
-
-
-def _lda(
-    num_topics: int, passes: int, asymmetric: bool, topic_word_prior: float | None, seed: int, share: float = STEP_SHARE
-) -> LDA:
-    """Online variational Bayes with the step size rule (1 + t) ** -0.5 and ``passes`` passes in expectation."""
-    lda = LDA(
-        k=num_topics,
-        seed=seed,
-        optimizer="online",
-        maxIter=passes * math.ceil(1 / share),
-        subsamplingRate=share,
-        learningDecay=0.5,
-        learningOffset=1.0,
-        optimizeDocConcentration=False,
-        featuresCol="features",
-    )
-    if asymmetric:
-        lda = lda.setDocConcentration(asymmetric_prior(num_topics))
-    return lda if topic_word_prior is None else lda.setTopicConcentration(topic_word_prior)
+    return found
+
+
+def _layout(topics: Sequence[int], asymmetric: bool, doc_topic_prior: float | None, topic_word_prior: float | None) -> lda.Layout:
+    alphas = tuple(tuple(asymmetric_prior(k)) if asymmetric else (doc_topic_prior or 1.0 / k,) * k for k in topics)
+    return lda.Layout(tuple(topics), alphas, tuple(topic_word_prior or 1.0 / k for k in topics))
+
+
+def _online(df: DataFrame, layout: lda.Layout, passes: int, seed: int, dictionary: DataFrame, share: float) -> lda.Weights:
+    steps = math.ceil(1 / share)
+    blocks = lda.slices(df, steps, layout.width, seed)
+    found = lda.online(blocks, lda.initial(dictionary, layout, seed), layout, passes, steps)
+    discard(blocks)
+    return found
 
 
 def train(
@@ -135,53 +130,76 @@ def train(
     seed: int = SEED,
     asymmetric: bool = True,
     topic_word_prior: float | None = 1.0,
-    dictionary: CountVectorizerModel | None = None,
+    dictionary: DataFrame | None = None,
     step_share: float = STEP_SHARE,
 ) -> TopicModel:
-    """Fit a topic model on the ``tokens`` of ``df``; each step takes ``step_share`` of the documents."""
-    dictionary = dictionary or build_dictionary(df)
-    vectors = dictionary.transform(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        lda = _lda(num_topics, passes, asymmetric, topic_word_prior, seed, step_share).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return TopicModel(PipelineModel([dictionary, lda]))
+    """Fit a topic model on the ``tokens`` of ``df``; each step takes ``step_share`` of the documents, and every document is in one step a pass."""
+    layout = _layout([num_topics], asymmetric, None, topic_word_prior)
+    weights = _online(df, layout, passes, seed, build_dictionary(df) if dictionary is None else dictionary, step_share)
+    return TopicModel(weights, layout.alphas[0], layout.etas[0])
 
 
 def train_full_batch(
-    vectors: DataFrame,
+    df: DataFrame,
     num_topics: int,
     seed: int = SEED,
     max_iter: int = 10,
     doc_topic_prior: float | None = None,
     topic_word_prior: float | None = None,
-    optimizer: str = "online",
-) -> LDAModel:
-    """Fit on a frame with ``features``, using all documents in every step; priors default to 1 / num_topics."""
-    lda = LDA(k=num_topics, seed=seed, optimizer=optimizer, maxIter=max_iter, featuresCol="features")
-    if optimizer == "online":
-        lda = lda.setSubsamplingRate(1.0).setOptimizeDocConcentration(False)
-        lda = lda.setDocConcentration([doc_topic_prior or 1.0 / num_topics])
-        return lda.setTopicConcentration(topic_word_prior or 1.0 / num_topics).fit(vectors)
-    if doc_topic_prior is not None:
-        lda = lda.setDocConcentration([doc_topic_prior])
-    if topic_word_prior is not None:
-        lda = lda.setTopicConcentration(topic_word_prior)
-    return lda.fit(vectors).toLocal()
+    dictionary: DataFrame | None = None,
+    tolerance: float = BOUND_TOLERANCE,
+) -> TopicModel:
+    """Fit on the ``tokens`` of ``df`` with all documents in every step, until the bound stands still; priors default to 1 / num_topics."""
+    layout = _layout([num_topics], False, doc_topic_prior, topic_word_prior)
+    blocks = lda.slices(df, 1, layout.width, seed)
+    start = lda.initial(build_dictionary(df) if dictionary is None else dictionary, layout, seed)
+    weights = lda.full_batch(blocks, start, layout, max_iter, tolerance)
+    discard(blocks)
+    return TopicModel(weights, layout.alphas[0], layout.etas[0])
+
+
+def log_perplexity(model: TopicModel, df: DataFrame) -> float:
+    """Minus the variational bound per known token of the documents of ``df``; lower is better."""
+    blocks = lda.slices(df, 1, model.num_topics, 0)
+    bound = lda.bounds(blocks, model.weights, model.layout)[0]
+    known = df.select(F.inline(term_counts(F.col("tokens"))).alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n"))
+    total = known.join(model.weights.table.select("term"), "term", "left_semi").agg(F.sum("n")).first()[0]
+    discard(blocks)
+    return float(-bound / total)
 
 
 def tune_by_perplexity(
-    vectors: DataFrame, topics: Iterable[int] = PERPLEXITY_TOPICS, seed: int = SEED, max_iter: int = 10
+    df: DataFrame, topics: Iterable[int] = PERPLEXITY_TOPICS, seed: int = SEED, max_iter: int = 10, dictionary: DataFrame | None = None
 ) -> tuple[int, list[tuple[int, float]]]:
-    """(best number of topics, [(number of topics, perplexity)]); lower is better, the first of equals wins."""
-    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scores = [(k, math.exp(log_perplexity(train_full_batch(kept, k, seed, max_iter), kept))) for k in topics]
-    finally:
-        kept.unpersist()
+    """(best number of topics, [(number of topics, perplexity)]); lower is better, the first of equals wins.
+
+    All candidates are trained side by side on all documents, so the corpus is read once per step, not once per candidate.
+    """
+    dictionary = build_dictionary(df) if dictionary is None else dictionary
+    topics = list(dict.fromkeys(topics))
+    layout = _layout(topics, False, None, None)
+    blocks = lda.slices(df, 1, layout.width, seed)
+    weights = lda.full_batch(blocks, lda.initial(dictionary, layout, seed), layout, max_iter, BOUND_TOLERANCE)
+    tokens = dictionary.agg(F.sum("cf")).first()[0]
+    scores = [(k, math.exp(-bound / tokens)) for k, bound in zip(topics, lda.bounds(blocks, weights, layout).tolist(), strict=True)]
+    discard(blocks, weights.table)
     return min(scores, key=lambda s: s[1])[0], scores
 
 
+def candidate_words(
+    df: DataFrame, topics: Sequence[int], passes: int, seed: int, dictionary: DataFrame, n: int = COHERENCE_WORDS
+) -> DataFrame:
+    """(model, topic, rank, term) of models with ``topics`` topics each, trained side by side in one go over the corpus; ``model`` is the number of topics."""
+    layout = _layout(topics, False, None, None)
+    weights = _online(df, layout, passes, seed, dictionary, STEP_SHARE)
+    places = F.array(*(F.struct(F.lit(k).alias("model"), F.lit(t).alias("topic")) for k in topics for t in range(k)))
+    found = let(F.get(places, F.col("column")), lambda place: place)
+    words = lda.top_terms(weights, layout.width, n).select(found.alias("place"), "rank", "term")
+    out = materialize(words.select("place.model", "place.topic", "rank", "term"))
+    discard(weights.table)
+    return out
+
+
 def tune_by_coherence(
     df: DataFrame,
     topics: Iterable[int] = TUNING_TOPICS,
@@ -190,25 +208,15 @@ def tune_by_coherence(
     seed: int = SEED,
     sample_rows: int | None = None,
     key: str = "row_id",
-    dictionary: CountVectorizerModel | None = None,
+    dictionary: DataFrame | None = None,
 ) -> tuple[int, list[tuple[int, float]]]:
     """(best number of topics, [(number of topics, coherence)]); higher is better, the first of equals wins.
 
-    All documents count unless ``sample_rows`` asks for an exact sample of them.  One cached table of vectors and one dictionary serve all
-    candidates, and their topic words are scored together in one pass over the texts.
+    All documents count unless ``sample_rows`` asks for an exact sample of them.  All candidates are trained side by side, and their topic words are
+    scored together in one pass over the texts.
     """
-    dictionary = dictionary or build_dictionary(df)
-    chosen = sample_exact(df, sample_rows, key, seed) if sample_rows else df
-    sample = dictionary.transform(chosen).select("tokens", "features")
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        words = None
-        for k in topics:
-            lda = _lda(k, passes, False, None, seed).fit(sample)
-            of_k = TopicModel(PipelineModel([dictionary, lda])).top_words(COHERENCE_WORDS)
-            of_k = of_k.withColumn("model", F.lit(k))
-            words = of_k if words is None else words.unionByName(of_k)
-        scores = [(r.model, r.coherence) for r in model_coherence(words, sample, measure).orderBy("model").collect()]
-    finally:
-        sample.unpersist()
+    dictionary = build_dictionary(df) if dictionary is None else dictionary
+    chosen = materialize(sample_exact(df, sample_rows, key, seed).select("tokens")) if sample_rows else df
+    words = candidate_words(chosen, list(dict.fromkeys(topics)), passes, seed, dictionary)
+    scores = [(r.model, r.coherence) for r in model_coherence(words, chosen, measure).orderBy("model").collect()]
     return max(scores, key=lambda s: (s[1], -s[0]))[0], scores

@@ -27,7 +27,9 @@ class Options:
     seed: int = M.SEED
     passes: int = M.PASSES
     tune: bool = False
-    tune_topics: Sequence[int] = M.TUNING_TOPICS
+    # Numbers of topics to try; those of the measure where none are given.
+    tune_topics: Sequence[int] = ()
+    # A coherence measure, or "perplexity".
     tune_measure: str = "c_v"
     tune_rows: int | None = None
     limit: int | None = None
@@ -59,7 +61,7 @@ class Result:
 
     def report(self) -> str:
         return report.markdown_report(
-            self.assigned if self.assigned is not None else self.documents, self.model.top_words(5), len(self.model.dictionary), self.model.num_topics
+            self.assigned if self.assigned is not None else self.documents, self.model.top_words(5), self.model.vocabulary_size, self.model.num_topics
         )
 
     def save(self, path: str) -> None:
@@ -141,15 +143,24 @@ class Analysis:
     def _modelled(self) -> DataFrame:
         return self.documents.filter("NOT is_anomaly") if self.options.isolate_below else self.documents
 
+    def _tuned(self) -> DataFrame:
+        rows = self.options.tune_rows
+        return materialize(sampling.sample_exact(self._modelled(), rows, "row_id", self.options.seed)) if rows else self._modelled()
+
     def build_dictionary(self) -> Analysis:
         self.dictionary = M.build_dictionary(self._modelled())
         return self
 
     def tune(self) -> Analysis:
-        """Choose the number of topics by coherence; replaces the configured number."""
+        """Choose the number of topics by coherence, or by perplexity; replaces the configured number."""
+        if self.options.tune_measure == "perplexity":
+            self.num_topics, self.tuning = M.tune_by_perplexity(
+                self._tuned(), self.options.tune_topics or M.PERPLEXITY_TOPICS, self.options.seed, dictionary=None if self.options.tune_rows else self.dictionary
+            )
+            return self
         self.num_topics, self.tuning = M.tune_by_coherence(
             self._modelled(),
-            self.options.tune_topics,
+            self.options.tune_topics or M.TUNING_TOPICS,
             self.options.tune_measure,
             seed=self.options.seed,
             sample_rows=self.options.tune_rows,
@@ -164,7 +175,7 @@ class Analysis:
         return self
 
     def assign(self) -> Analysis:
-        assigned = self.model.assign(self.documents)
+        assigned = self.model.assign(self.documents, key="row_id")
         if self.options.isolate_below:
             assigned = assigned.withColumn(
                 "topic", F.when(F.col("is_anomaly"), topics.UNASSIGNED).otherwise(F.col("topic"))
@@ -177,7 +188,7 @@ class Analysis:
     def result(self) -> Result:
         """Scores, names, summary and chart tables of the assigned documents."""
         documents, k = self.documents, self.num_topics
-        words = self.model.top_words(report.HEATMAP_WORDS)
+        words = materialize(self.model.top_words(report.HEATMAP_WORDS))
         names = materialize(labels.topic_names(documents, words, k))
         summary = report.topic_summary(documents, words, names, k)
         out = Result(documents, self.model, summary, names, tuning=self.tuning, assigned=documents)

@@ -76,9 +76,34 @@ def materialize(df: DataFrame) -> DataFrame:
 
     A Parquet table is preferred to an RDD checkpoint: readers prune its columns, and its size is known to the planner.
     """
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    with _small_batches(spark):
+        df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows reach Python in batches of a few megabytes, whatever their size."""
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.set(key, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `materialize` has written and that no frame in use reads any more; other frames are left alone."""
+    for frame in frames:
+        folder = getattr(frame, "_scratch", None)
+        if folder is not None:
+            spark = frame.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Topic model: invariants on a corpus made of two vocabularies, since no two engines give the same bits."""
+"""Topic model: against a plain version, and invariants on a corpus made of two vocabularies, since no two engines give the same bits."""
 
 import math
 import random
 
+import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from argotlog.operators.coherence import WINDOWS, model_coherence, window_contents
+from argotlog.plans import lda
 from argotlog.plans import model as M
-from argotlog.plans.perplexity import log_perplexity
 
 
 @pytest.fixture(scope="module")
@@ -17,30 +17,128 @@ def planted(spark):
     words = [["alpha", "beta", "gamma", "delta"], ["one", "two", "three", "four"]]
     rng = random.Random(1)
     rows = [(i, rng.choices(words[i % 2], k=6)) for i in range(400)]
-    return spark.createDataFrame([*rows, (400, []), (401, ["unseen"])], "row_id bigint, tokens array<string>").repartition(4).cache()
+    return spark.createDataFrame([*rows, (400, []), (401, ["unseen"]), (402, None)], "row_id bigint, tokens array<string>").repartition(4).cache()
 
 
 @pytest.fixture(scope="module")
 def trained(planted):
-    return M.train(planted.filter("row_id < 400"), 2, passes=8, topic_word_prior=0.1)
+    return M.train(planted.filter("row_id < 400"), 2, passes=4, topic_word_prior=0.1)
 
 
-def test_dictionary_is_complete_and_ordered(spark, planted):
-    small = spark.createDataFrame([(["b", "a", "a"],), (["c", "b"],)], "tokens array<string>")
-    assert M.build_dictionary(small).vocabulary == ["a", "b", "c"]
-    with pytest.raises(ValueError, match="distinct tokens"):
-        M.build_dictionary(small, limit=2)
+def test_dictionary_is_complete(spark):
+    small = spark.createDataFrame([(["b", "a", "a", ""],), (["c", "b"],), (None,)], "tokens array<string>")
+    assert sorted(map(tuple, M.build_dictionary(small).collect())) == [("", 1, 1), ("a", 1, 2), ("b", 2, 2), ("c", 1, 1)]
     with pytest.raises(ValueError, match="no tokens"):
         M.build_dictionary(small.filter("false"))
 
 
-def test_big_dictionary(spark):
-    terms = [f"w{i} \\E." for i in range(1500)] + [""]
-    model = M._vectorizer(terms, "tokens")
-    assert model.vocabulary == terms
-    assert M._vectorizer(["a\nb", *terms], "tokens").vocabulary == ["a\nb", *terms]
-    df = spark.createDataFrame([(["w7 \\E.", "w7 \\E.", ""],)], "tokens array<string>")
-    assert dict(zip(*(lambda v: (v.indices, v.values))(model.transform(df).first().features))) == {7: 2.0, 1500: 1.0}
+# ---------------------------------------------------------------------------------------- a plain version, one document and one term at a time
+
+
+def plain_digamma(x):
+    total = 0.0
+    while x < 20:
+        total -= 1 / x
+        x += 1
+    return total + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def plain_fit(bag, weights, totals, alpha):
+    """(gamma, {term: shares}) of one document."""
+    bag = {t: n for t, n in bag.items() if t in weights}
+    k = len(alpha)
+    beta = {t: [math.exp(plain_digamma(weights[t][j]) - plain_digamma(totals[j])) for j in range(k)] for t in bag}
+    gamma = [a + sum(bag.values()) / k for a in alpha]
+    for _ in range(lda.MAX_ROUNDS):
+        theta = [math.exp(plain_digamma(g) - plain_digamma(sum(gamma))) for g in gamma]
+        norm = {t: sum(x * y for x, y in zip(theta, beta[t], strict=True)) for t in bag}
+        new = [alpha[j] + sum(n * theta[j] * beta[t][j] / norm[t] for t, n in bag.items()) for j in range(k)]
+        change, gamma = sum(abs(x - y) for x, y in zip(new, gamma, strict=True)) / k, new
+        if change < lda.TOLERANCE:
+            break
+    theta = [math.exp(plain_digamma(g) - plain_digamma(sum(gamma))) for g in gamma]
+    shares = {t: [n * theta[j] * beta[t][j] / sum(x * y for x, y in zip(theta, beta[t], strict=True)) for j in range(k)] for t, n in bag.items()}
+    return gamma, shares
+
+
+def plain_bound(documents, weights, alpha, eta):
+    k = len(alpha)
+    totals = [sum(w[j] for w in weights.values()) for j in range(k)]
+    bound = 0.0
+    for bag in documents:
+        gamma, _ = plain_fit(bag, weights, totals, alpha)
+        log_theta = [plain_digamma(g) - plain_digamma(sum(gamma)) for g in gamma]
+        for t, n in bag.items():
+            bound += n * math.log(sum(math.exp(log_theta[j] + plain_digamma(weights[t][j]) - plain_digamma(totals[j])) for j in range(k)))
+        bound += sum((a - g) * x + math.lgamma(g) - math.lgamma(a) for a, g, x in zip(alpha, gamma, log_theta, strict=True))
+        bound += math.lgamma(sum(alpha)) - math.lgamma(sum(gamma))
+    for j in range(k):
+        bound += sum((eta - w[j]) * (plain_digamma(w[j]) - plain_digamma(totals[j])) + math.lgamma(w[j]) - math.lgamma(eta) for w in weights.values())
+        bound += math.lgamma(eta * len(weights)) - math.lgamma(totals[j])
+    return bound
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = random.Random(8)
+    rows = [(i, [f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(rng.randint(1, 30))]) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(20)]  # a third of them are equal
+    return spark.createDataFrame(rows, "row_id bigint, tokens array<string>").repartition(5).cache()
+
+
+def bags(df):
+    return {r.row_id: {t: r.tokens.count(t) for t in r.tokens} for r in df.collect()}
+
+
+def table_of(weights):
+    return {r.term: list(r.weights) for r in weights.table.collect()}
+
+
+@pytest.mark.parametrize("cells", [lda.BLOCK_CELLS, 1])
+def test_one_step_equals_the_plain_version(small, cells, monkeypatch):
+    """Two models side by side, in one block or in many of at least 64 entries."""
+    monkeypatch.setattr(lda, "BLOCK_CELLS", cells)
+    alphas, etas = ((0.5, 0.3, 0.2), (0.5, 0.5)), (0.1, 0.5)
+    layout = lda.Layout((3, 2), alphas, etas)
+    start = lda.initial(M.build_dictionary(small), layout, 1)
+    blocks = lda.slices(small, 1, layout.width, 1)
+    assert (blocks.count() > 3) == (cells == 1)
+    before = table_of(start)
+    assert all(0.1 <= w <= 2 for ws in before.values() for w in ws) and np.allclose(start.totals, np.sum(list(before.values()), axis=0))
+    moved = lda.updated(start, lda.statistics(blocks, start, layout, 0.25 * 2.0), layout, 0.25)
+    after, documents = table_of(moved), bags(small).values()
+    for part, alpha, eta in zip(layout.parts, alphas, etas, strict=True):
+        old = {t: w[part] for t, w in before.items()}
+        totals = [sum(w[j] for w in old.values()) for j in range(len(alpha))]
+        stats = {t: [0.0] * len(alpha) for t in old}
+        for bag in documents:
+            for t, shares in plain_fit(bag, old, totals, alpha)[1].items():
+                stats[t] = [a + b for a, b in zip(stats[t], shares, strict=True)]
+        for t, w in old.items():
+            expected = [0.75 * a + 0.25 * (eta + 2.0 * s) for a, s in zip(w, stats[t], strict=True)]
+            assert np.allclose(after[t][part], expected, rtol=1e-6), t
+    bounds = lda.bounds(blocks, moved, layout)
+    for part, alpha, eta, bound in zip(layout.parts, alphas, etas, bounds, strict=True):
+        assert math.isclose(bound, plain_bound(documents, {t: w[part] for t, w in after.items()}, alpha, eta), rel_tol=1e-6)
+
+
+def test_assignment_equals_the_plain_version(small):
+    model = M.train(small, 3, passes=1)
+    weights = table_of(model.weights)
+    got = {r.row_id: r.theta for r in model.distributions(small, "row_id").collect()}
+    for row, bag in bags(small).items():
+        gamma, _ = plain_fit(bag, weights, model.weights.totals.tolist(), model.alpha)
+        assert np.allclose(got[row], np.array(gamma) / sum(gamma), atol=1e-6)
+    assert len({tuple(got[i]) for i in (3, *range(100, 120))}) == 1
+
+
+def test_more_terms_than_a_task_is_given_in_one_piece(spark):
+    """Each document brings terms of its own: 200,000 terms here, none of which the driver or a task sees as a whole."""
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), F.col("id") * 10 + i)).alias("own"))
+    rows = rows.withColumn("tokens", F.concat("own", F.array(F.when(F.col("row_id") % 2 == 0, "even").otherwise("odd"))))
+    model = M.train(rows, 2, passes=1, step_share=0.5, topic_word_prior=0.1)
+    assert model.vocabulary_size == 200_002 and model.assign(rows, key="row_id").where("topic >= 0").count() == 20_000
+    assert model.weights.table.count() == 200_002
 
 
 def test_prior_falls_and_sums_to_one():
@@ -51,47 +149,57 @@ def test_prior_falls_and_sums_to_one():
 
 def test_topics_separate_the_vocabularies(planted, trained):
     rows = {r.row_id: r.topic for r in trained.assign(planted).collect()}
-    assert rows[400] == -1 and rows[401] == -1
+    assert rows[400] == rows[401] == rows[402] == -1
     even, odd = {rows[i] for i in range(0, 400, 2)}, {rows[i] for i in range(1, 400, 2)}
     assert len(even) == len(odd) == 1 and even != odd and even | odd == {0, 1}
 
 
 def test_distributions_sum_to_one(planted, trained):
-    scored = trained.stages.transform(planted.filter("row_id < 400"))
-    sums = scored.select(F.aggregate(vector_to_array("topicDistribution"), F.lit(0.0), lambda a, x: a + x).alias("s"))
-    assert sums.filter(F.abs(F.col("s") - 1) > 1e-9).count() == 0
+    rows = trained.distributions(planted, "row_id").collect()
+    assert {r.row_id for r in rows} == set(range(400)) and all(abs(sum(r.theta) - 1) < 1e-9 for r in rows)
     words = trained.top_words(8).groupBy("topic").agg(F.sum("weight").alias("s"), F.count("term").alias("n")).collect()
     assert [(round(r.s, 9), r.n) for r in words] == [(1.0, 8)] * 2
 
 
+def test_top_words_rank_by_weight_then_term(spark):
+    rows = [(f"t{i:02}", [float(i % 4 + 1), 1.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "term string, weights array<double>").repartition(6)
+    found = M.TopicModel(lda.Weights(table, np.array([100.0, 40.0]), 40), (0.5, 0.5), 1.0).top_words(3).orderBy("topic", "rank").collect()
+    assert [tuple(r) for r in found] == [(0, 1, "t03", 0.04), (0, 2, "t07", 0.04), (0, 3, "t11", 0.04), (1, 1, "t00", 0.025), (1, 2, "t01", 0.025), (1, 3, "t02", 0.025)]
+
+
 def test_same_seed_same_topics_and_save_load(planted, trained, tmp_path):
-    again = M.train(planted.filter("row_id < 400"), 2, passes=8, topic_word_prior=0.1)
+    again = M.train(planted.filter("row_id < 400"), 2, passes=4, topic_word_prior=0.1)
     first = trained.assign(planted).select("row_id", "topic").collect()
     assert sorted(first) == sorted(again.assign(planted).select("row_id", "topic").collect())
     trained.save(str(tmp_path / "m"))
     loaded = M.TopicModel.load(str(tmp_path / "m"))
-    assert loaded.num_topics == 2 and loaded.dictionary == trained.dictionary
+    assert loaded.num_topics == 2 and loaded.vocabulary_size == trained.vocabulary_size == 8 and loaded.alpha == trained.alpha
     assert sorted(first) == sorted(loaded.assign(planted).select("row_id", "topic").collect())
 
 
-@pytest.mark.parametrize("optimizer", ["online", "em"])
-def test_full_batch(planted, optimizer):
+def test_full_batch_stops_at_the_bound(planted):
     docs = planted.filter("row_id < 400")
-    vectors = M.build_dictionary(docs).transform(docs)
-    lda = M.train_full_batch(vectors, 2, max_iter=20, optimizer=optimizer)
-    assert lda.describeTopics().count() == 2 and lda.transform(vectors).count() == 400
+    model = M.train_full_batch(docs, 2, max_iter=30)
+    assert model.top_words(3).count() == 6 and model.assign(docs).where("topic >= 0").count() == 400
+    more = M.train_full_batch(docs, 2, max_iter=60)
+    assert math.isclose(M.log_perplexity(model, docs), M.log_perplexity(more, docs), rel_tol=1e-4)
 
 
-def test_perplexity_agrees_with_the_dense_computation(planted):
-    docs = planted.filter("row_id < 400")
-    vectors = M.build_dictionary(docs).transform(docs)
-    for k in (2, 5):
-        lda = M.train_full_batch(vectors, k, max_iter=5)
-        assert math.isclose(log_perplexity(lda, vectors), lda.logPerplexity(vectors), rel_tol=1e-3)
-    best, scores = M.tune_by_perplexity(vectors, (2, 6), max_iter=5)
+def test_tuning_by_perplexity(planted):
+    best, scores = M.tune_by_perplexity(planted.filter("row_id < 400"), (2, 6), max_iter=5)
     assert best == min(scores, key=lambda s: s[1])[0] and [k for k, _ in scores] == [2, 6]
 
 
+def test_candidates_side_by_side_equal_single_models(planted):
+    """A candidate does not depend on its neighbours but for the weights that it starts from."""
+    docs = planted.filter("row_id < 400")
+    words = M.candidate_words(docs, (2, 3), 4, 7, M.build_dictionary(docs), 4).collect()
+    alone = M.candidate_words(docs, (2,), 4, 7, M.build_dictionary(docs), 4).collect()
+    assert {(r.topic, r.rank, r.term) for r in words if r.model == 2} == {(r.topic, r.rank, r.term) for r in alone}
+    assert len([r for r in words if r.model == 3]) == 12
+
+
 def test_tuning_by_coherence(planted):
     best, scores = M.tune_by_coherence(planted.filter("row_id < 400"), (2, 3), passes=1, sample_rows=300)
     assert [k for k, _ in scores] == [2, 3] and best in (2, 3) and all(-1 <= c <= 1 for _, c in scores)

@@ -11,7 +11,7 @@ from argotlog.plans.model import TopicModel
 from argotlog.plans.run import Analysis, Options, run, run_files
 from argotlog.sources import knowledge as kb
 from argotlog.sources import synthetic, tables
-from argotlog.streaming.score import score_stream, write_stream
+from argotlog.streaming.score import score, score_stream, scored_rows
 
 # Folder of a full knowledge base, if there is one to test with.
 FULL_KNOWLEDGE = os.environ.get("ARGOTLOG_TEST_KNOWLEDGE", "")
@@ -107,6 +107,9 @@ def test_run_without_knowledge_base_and_with_options(spark):
     options = Options(num_topics=2, passes=1, limit=200, charts=False, knowledge_path="/nowhere", isolate_below=3, tune=True, tune_topics=(2, 3))
     result = run(spark, corpus, options)
     assert result.scores is None and result.charts == {} and len(result.tuning) == 2
+    by_perplexity = Options(num_topics=2, limit=200, tune=True, tune_topics=(2, 3), tune_measure="perplexity", tune_rows=150)
+    tuned = Analysis(spark, by_perplexity).load(corpus).preprocess().build_dictionary().tune()
+    assert [k for k, _ in tuned.tuning] == [2, 3] and tuned.num_topics == min(tuned.tuning, key=lambda s: s[1])[0]
     documents = result.documents
     assert documents.count() == 200
     assert documents.filter("is_anomaly AND topic <> -1").count() == 0 and documents.filter("is_anomaly").count() > 0
@@ -135,10 +138,11 @@ def test_stream_equals_batch(spark, tmp_path):
     analysis = Analysis(spark, Options(num_topics=2, passes=1)).load(corpus.select("command_line"))
     model = analysis.preprocess().build_dictionary().train().model
     stream = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    write_stream(score_stream(stream, model, ["reg.exe"]), str(tmp_path / "out"), str(tmp_path / "cp"), True).awaitTermination()
+    score_stream(stream, lambda rows: score(rows, model, ["reg.exe"]), str(tmp_path / "out"), str(tmp_path / "cp"), True).awaitTermination()
+    assert len(glob.glob(str(tmp_path / "out" / "batch_id=*"))) == 3
     columns = ["row_id", "topic", "contains_lolbas", "normalized_command", "root_command"]
-    streamed = spark.read.parquet(str(tmp_path / "out")).select(columns)
-    batch = score_stream(corpus, model, ["reg.exe"]).select(columns)
+    streamed = scored_rows(spark, str(tmp_path / "out")).select(columns)
+    batch = score(corpus, model, ["reg.exe"]).select(columns)
     assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
 
 
