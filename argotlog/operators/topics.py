@@ -101,8 +101,9 @@ def length_distribution(df: DataFrame, topic: str = "topic", tokens: str = "toke
 def _box(counts: DataFrame, topic: str, quartiles: Column) -> DataFrame:
     n, x = F.col("n"), F.col("length")
     total, first, second = F.sum(n), F.sum(n * x), F.sum(n * x * x)
-    # Whole-number sums: the variance needs no second pass and loses no digits to the order of addition.
-    variance = (total * second - first * first) / (total * total)
+    # Whole-number sums: the variance needs no second pass and loses no digits to the order of addition.  Their products do not fit 64 bits.
+    wide = [s.cast("decimal(19,0)") for s in (total, first, second)]
+    variance = (wide[0] * wide[2] - wide[1] * wide[1]).cast("double") / (wide[0] * wide[0]).cast("double")
     return (
         counts.groupBy(topic)
         .agg(
