@@ -819,6 +819,35 @@ def fuzzy_command_groups(spark, folder):
     return grouping.group_templates(documents_of_topics(spark, folder))
 
 
+# The sequential definition in SQL: common subsequences row by row (a new row is the running maximum of what the old one and a match allow), then leaders in
+# rank order.  It takes a list of few distinct texts.
+_PART_GROUPS = """WITH RECURSIVE t AS (SELECT p_name || ' ' || p_type AS template, count(*) AS n FROM part GROUP BY 1),
+    b AS (SELECT *, string_split(template, ' ')[1] AS bucket FROM t),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY n DESC, template) AS INTEGER) AS i FROM b),
+    p AS (SELECT x.bucket, x.i, y.i AS j, x.template AS a, y.template AS b FROM r x JOIN r y ON x.bucket = y.bucket AND y.i < x.i),
+    d AS (SELECT bucket, i, j, a, b, 0 AS k, list_transform(range(len(b) + 1), lambda z: 0) AS row FROM p
+          UNION ALL
+          SELECT bucket, i, j, a, b, k + 1, list_transform(range(len(b) + 1), lambda y: list_max(list_transform(range(y + 1),
+                 lambda z: greatest(row[z + 1], CASE WHEN z > 0 AND b[z] = a[k + 1] THEN row[z] + 1 ELSE 0 END)))) FROM d WHERE k < len(a)),
+    s AS (SELECT bucket, i, j, 200.0 * row[-1] / (len(a) + len(b)) AS ratio FROM d WHERE k = len(a) AND 200 * row[-1] >= 70 * (len(a) + len(b))),
+    e AS (SELECT bucket, i, list(j) AS near FROM s GROUP BY 1, 2),
+    l AS (SELECT DISTINCT bucket, 0 AS i, CAST([] AS INTEGER[]) AS leaders FROM r
+          UNION ALL
+          SELECT l.bucket, r.i, CASE WHEN list_has_any(l.leaders, coalesce(e.near, [])) THEN l.leaders ELSE list_append(l.leaders, r.i) END
+          FROM l JOIN r ON r.bucket = l.bucket AND r.i = l.i + 1 LEFT JOIN e ON e.bucket = r.bucket AND e.i = r.i),
+    f AS (SELECT bucket, max_by(leaders, i) AS leaders FROM l GROUP BY 1),
+    g AS (SELECT s.bucket, s.i, first(j ORDER BY ratio DESC, j) AS j FROM s JOIN f USING (bucket) WHERE list_contains(leaders, j) GROUP BY 1, 2)
+    SELECT r.template, coalesce(h.template, r.template) AS command_group
+    FROM r LEFT JOIN g USING (bucket, i) LEFT JOIN r h ON h.bucket = r.bucket AND h.i = g.j"""
+
+
+@query(_PART_GROUPS)
+def part_name_groups(spark, folder):
+    """Names and types of the parts, grouped by similarity among those with the same first word."""
+    names = table(spark, folder, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("normalized_command"))
+    return grouping.group_templates(names, threshold=70)
+
+
 def _small_model(documents: DataFrame, k: int = NUM_TOPICS) -> M.TopicModel:
     return M.train(documents, k, passes=1)
 

@@ -4,200 +4,151 @@ Templates are ranked by how many rows they have (most first), then by text, and
 order each template joins the most similar earlier leader if the similarity reaches the threshold, and else becomes a
 leader.  The result is exactly that of the sequential definition, without a sequential pass over a bucket:
 
-* In every round each bucket offers its first undecided templates, a batch of bounded size.  All earlier templates are
+* In every round each bucket offers its first undecided templates, a batch of bounded size that grows from round to round.  All earlier templates are
   decided and none of their leaders is similar, so running the definition inside the batch yields true leaders.
-* The rest of the bucket drops out of the race where a new leader is similar enough.  Comparisons are made with leaders only,
-  never between all members of a bucket, in as many tasks as there is data for.
-* When nothing is undecided, every template picks its best among the earlier leaders of its bucket.
+* The new leaders are compared with all later templates of their bucket, once: what is similar enough is decided, and keeps its best leader so far.
+  A bucket is cut into salts of bounded size; each meets the new leaders in a task of its own, where both are prepared once and compared side by side.
+* When nothing is undecided, every template has met all earlier leaders of its bucket, and its best one is the best of the rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import root_executable
-from ..session import materialize, spread
+from ..session import discard, materialize
+from .similarity import Patterns, Texts, bounds, common_of_pairs, make_similarity
+
+__all__ = ["make_similarity"]
 
 DEFAULT_THRESHOLD = 40
+# Templates that a bucket offers in the first round, and at most in a later one.
 BATCH = 256
-BROADCAST_BYTES = 64 << 20
-
-
-def make_similarity():
-    """``(text, text) -> longest common subsequence`` as a closure, so that tasks need nothing but the standard library."""
-
-    def common(a: str, b: str) -> int:
-        if a == b:
-            return len(a)
-        shared, end = 0, min(len(a), len(b))
-        while shared < end and a[shared] == b[shared]:
-            shared += 1
-        a, b = a[shared:], b[shared:]
-        tail, end = 0, min(len(a), len(b))
-        while tail < end and a[-1 - tail] == b[-1 - tail]:
-            tail += 1
-        a, b = a[: len(a) - tail], b[: len(b) - tail]
-        if len(a) > len(b):
-            a, b = b, a
-        if not a:
-            return shared + tail
-        # Hyyrö's bit-parallel recurrence: one bit per character of the shorter text, cleared where it is matched.
-        positions: dict[str, int] = {}
-        for i, ch in enumerate(a):
-            positions[ch] = positions.get(ch, 0) | 1 << i
-        full = (1 << len(a)) - 1
-        row = full
-        for ch in b:
-            match = row & positions.get(ch, 0)
-            row = ((row + match) | (row - match)) & full
-        return shared + tail + len(a) - row.bit_count()
-
-    return common
-
-
-def make_bound():
-    """``(text, list of texts) -> upper bounds of the common subsequences``, for all of the list at once.
-
-    Two texts cannot share more than the characters they have in common, whatever their order.  Characters are counted in 64 bins, which
-    only raises the bound.
-    """
-    bins = 64
-    counted: dict[str, np.ndarray] = {}
-
-    def counts(text: str) -> np.ndarray:
-        found = counted.get(text)
-        if found is None:
-            if len(counted) > 20_000:
-                counted.clear()
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            found = counted[text] = np.bincount(codes % bins, minlength=bins).astype(np.int32)
-        return found
-
-    def bounds(text: str, options: Sequence[str]) -> np.ndarray:
-        if not len(options):
-            return np.zeros(0, np.int32)
-        return np.minimum(np.stack([counts(o) for o in options]), counts(text)).sum(axis=1)
-
-    return bounds
-
-
-def _best_of(template: Column, candidates: Column, threshold: int) -> Column:
-    """(common, position) of the first most similar candidate that reaches the threshold; position is null if none does."""
-    common, bounds = make_similarity(), make_bound()
-
-    @F.pandas_udf("ratio double, position int")
-    def best(templates: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        ratios, positions = [], []
-        for text, options in zip(templates, lists):
-            top, where = -1.0, None
-            for i, (option, bound) in enumerate(zip(options, bounds(text, options).tolist())):
-                total = len(text) + len(option)
-                if not total or 200.0 * bound / total <= top or 200 * bound < threshold * total:
-                    continue
-                shared = common(text, option)
-                if 200 * shared >= threshold * total and 200.0 * shared / total > top:
-                    top, where = 200.0 * shared / total, i
-            ratios.append(top)
-            positions.append(where)
-        return pd.DataFrame({"ratio": ratios, "position": pd.array(positions, dtype="Int32")})
-
-    return best(template, candidates)
-
-
-def _close_in_length(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two texts are close enough in length to reach the threshold at all."""
-    return F.least(F.length(a), F.length(b)) * 200 >= (F.length(a) + F.length(b)) * threshold
-
-
-def _with_leaders(templates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Join templates with the leader blocks of their bucket.
-
-    A leader table whose measured size is small is broadcast, which leaves even a bucket with most of the templates spread over all
-    tasks.  A bigger one is joined by shuffle, where the adaptive skew join splits such a bucket.
-    """
-    row_bytes = F.octet_length("bucket") + F.aggregate(
-        "leaders", F.lit(0).cast("bigint"), lambda total, leader: total + F.octet_length(leader["text"]) + 64
-    )
-    measured = blocks.agg(F.coalesce(F.sum(row_bytes + 64), F.lit(0))).first()[0]
-    return templates.join(F.broadcast(blocks) if measured <= BROADCAST_BYTES else blocks, "bucket")
-
+LARGEST_BATCH = 4096
+# Templates of a bucket that are compared with new leaders in one task.
+SALT_ROWS = 4096
+# Inside a batch, so many are compared with the leaders before them at once.
+STRIDE = 128
+# Bounds on the templates that are broadcast to label rows: at most this many, of at most this many bytes.
+COMMON_TEMPLATES = 65_536
+COMMON_TEMPLATE_BYTES = 512
+
+
+def _alike(a: Texts, b: Texts, patterns: Patterns, low: int, high: int, threshold: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of ``a``, text of ``b``, common) of the ``allowed`` pairs that reach the threshold."""
+    total = a.length[low:high, None] + b.length[None, :]
+    left, right = np.nonzero(allowed & (200 * bounds(a, b, low, high) >= threshold * total))
+    shared = common_of_pairs(a, patterns, left + low, right)
+    good = 200 * shared >= threshold * (a.length[left + low] + b.length[right])
+    return left[good] + low, right[good], shared[good]
+
+
+def leaders_of(texts: list[str], threshold: int) -> list[int]:
+    """Which of ``texts``, in rank order, are leaders by the sequential definition."""
+    found: list[int] = []
+    for begin in range(0, len(texts), STRIDE):
+        some = list(range(begin, min(begin + STRIDE, len(texts))))
+        a = Texts([texts[i] for i in some])
+        free = np.ones(len(some), bool)
+        if found:
+            b = Texts([texts[i] for i in found])
+            left, _, _ = _alike(a, b, Patterns(b), 0, len(a), threshold, np.ones((len(a), len(b)), bool))
+            free[left] = False
+        left, right, _ = _alike(a, a, Patterns(a), 0, len(a), threshold, np.tri(len(a), k=-1, dtype=bool) & free[:, None] & free[None, :])
+        earlier: dict[int, list[int]] = {}
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            earlier.setdefault(i, []).append(j)
+        for i in np.flatnonzero(free).tolist():
+            free[i] = not any(free[j] for j in earlier.get(i, ()))
+        found += [some[i] for i in np.flatnonzero(free)]
+    return found
+
+
+def _offered(undecided: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(bucket, n, template, leader) of the first ``size`` undecided templates of every bucket; ``leader`` says which of them lead."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("rank", "ascending")]).combine_chunks()
+        lead = np.zeros(rows.num_rows, bool)
+        lead[leaders_of(rows["template"].to_pylist(), threshold)] = True
+        return pa.table({"bucket": rows["bucket"], "n": rows["n"], "template": rows["template"], "leader": pa.array(lead)})
 
-def find_leaders(templates: DataFrame, threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH) -> DataFrame:
-    """Leader blocks (bucket, leaders) from distinct templates (bucket, template, n).
-
-    ``leaders`` holds (order, text) in rank order, at most ``batch`` per block; ``order`` is minus the row count.
-    """
-    common, bounds = make_similarity(), make_bound()
-
-    def first_leaders(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        leaders: list[dict] = []
-        for text, n in zip(rows["template"], rows["n"]):
-            for leader, bound in zip(leaders, bounds(text, [e["text"] for e in leaders]).tolist()):
-                total = len(text) + len(leader["text"])
-                if 200 * bound < threshold * total:
-                    continue
-                if 200 * common(text, leader["text"]) >= threshold * total:
-                    break
-            else:
-                leaders.append({"order": -n, "text": text})
-        last = rows.iloc[-1]
-        end = {"order": -last["n"], "text": last["template"]}
-        return pd.DataFrame({"bucket": [last["bucket"]], "leaders": [leaders], "last": [end]})
-
-    entry = "struct<order:bigint,text:string>"
     order = W.partitionBy("bucket").orderBy(F.desc("n"), F.asc("template"))
-    undecided, found = templates, None
+    first = undecided.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    chosen = first.select(F.coalesce("bucket", F.lit("")).alias("bucket"), "n", "template", "rank")
+    return materialize(chosen.groupBy("bucket").applyInArrow(run, "bucket string, n bigint, template string, leader boolean"))
+
+
+def _offers(templates: DataFrame, leaders: DataFrame, threshold: int) -> DataFrame:
+    """(template, distance, order, leader) of the best of ``leaders`` for each later template of its bucket that has one similar enough."""
+
+    def run(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        rows, heads = rows.combine_chunks(), heads.sort_by([("n", "descending"), ("template", "ascending")]).combine_chunks()
+        out = {"template": [], "distance": [], "order": [], "leader": []}
+        if rows.num_rows and heads.num_rows:
+            b = Texts(heads["template"].to_pylist())
+            a, patterns = Texts(rows["template"].to_pylist()), Patterns(b)
+            n, leader_n = rows["n"].to_numpy(), heads["n"].to_numpy()
+            # Places of the templates among the leaders in rank order: only leaders before them count.
+            place = np.array([_before(leader_n, b.texts, int(m), t) for m, t in zip(n, a.texts, strict=True)])
+            step = max(1, (1 << 21) // len(b))
+            for low in range(0, len(a), step):
+                high = min(low + step, len(a))
+                left, right, shared = _alike(a, b, patterns, low, high, threshold, np.arange(len(b))[None, :] < place[low:high, None])
+                distance = -200.0 * shared / (a.length[left] + b.length[right])
+                order = np.lexsort((right, distance, left))
+                left, right, distance = left[order], right[order], distance[order]
+                for k in np.flatnonzero(np.diff(left, prepend=-1)):
+                    out["template"].append(a.texts[left[k]])
+                    out["distance"].append(float(distance[k]))
+                    out["order"].append(-int(leader_n[right[k]]))
+                    out["leader"].append(b.texts[right[k]])
+        return pa.table(out, pa.schema([("template", pa.string()), ("distance", pa.float64()), ("order", pa.int64()), ("leader", pa.string())]))
+
+    salted = leaders.join(templates.select("bucket", "salts").distinct(), "bucket")
+    heads = salted.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "n", "template")
+    active = templates.join(leaders.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "salt", "n", "template")
+    return active.groupBy("bucket", "salt").cogroup(heads.groupBy("bucket", "salt")).applyInArrow(run, "template string, distance double, order bigint, leader string")
+
+
+def _before(counts: np.ndarray, texts: list[str], n: int, text: str) -> int:
+    """How many of the leaders, falling by count and then rising by text, come before (n, text)."""
+    low, high = int(np.searchsorted(-counts, -n, side="left")), int(np.searchsorted(-counts, -n, side="right"))
+    while low < high:
+        middle = (low + high) // 2
+        if texts[middle] < text:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def group_ranked(templates: DataFrame, threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH) -> DataFrame:
+    """(template, command_group) from distinct templates (bucket, template, n): the most similar earlier leader of the bucket, the earlier one on ties,
+    else the template itself."""
+    sizes = templates.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    same = F.coalesce("bucket", F.lit(""))
+    keyed = templates.select(same.alias("bucket"), "template", "n").join(sizes.groupBy(same.alias("bucket")).agg(F.sum("salts").alias("salts")), "bucket")
+    every = materialize(keyed.withColumn("salts", F.col("salts").cast("int")).withColumn("salt", F.pmod(F.xxhash64("template"), "salts").cast("int")))
+    undecided, found, size = every.select("bucket", "template", "n"), None, batch
     while True:
-        # At most `batch` rows per bucket get into a group.
-        offered = undecided.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= batch)
-        decided = offered.groupBy("bucket").applyInPandas(
-            first_leaders, f"bucket string, leaders array<{entry}>, last {entry}"
-        )
-        new = materialize(decided)
-        blocks = new.select("bucket", "leaders")
-        found = blocks if found is None else found.union(blocks)
-        later = _with_leaders(spread(undecided), new).filter(_rank(F.col("n"), F.col("template")) > F.col("last"))
-        unlike = later.filter(_best_leader(threshold)["position"].isNull())
-        undecided = materialize(unlike.select("bucket", "template", "n"))
+        offered = _offered(undecided, size, threshold)
+        leaders = offered.where("leader").select("bucket", "n", "template")
+        offers = materialize(_offers(every, leaders, threshold))
+        found = offers if found is None else found.unionByName(offers)
+        done = offered.select("template").unionByName(offers.select("template"))
+        rest = materialize(undecided.join(done, "template", "left_anti"))
+        discard(undecided, offered)
+        undecided, size = rest, min(2 * size, max(batch, LARGEST_BATCH))
         if undecided.isEmpty():
-            return found
-
-
-def _rank(n: Column, template: Column) -> Column:
-    return F.struct((-n).alias("order"), template.alias("text"))
-
-
-def _best_leader(threshold: int) -> Column:
-    """Best leader of the ``leaders`` column for each ``template``, as (ratio, position among the candidates)."""
-    return _best_of(F.col("template"), _candidates(threshold)["text"], threshold)
-
-
-def _candidates(threshold: int) -> Column:
-    """The leaders that come before the template in rank order and are not too long or short to be similar enough."""
-    return F.filter(
-        "leaders",
-        lambda e: (e < _rank(F.col("n"), F.col("template"))) & _close_in_length(e["text"], F.col("template"), threshold),
-    )
-
-
-def assign_leaders(templates: DataFrame, blocks: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """(template, command_group): the most similar earlier leader of the bucket, the earlier one on ties, else the template."""
-    compared = _with_leaders(spread(templates), blocks).withColumn("best", _best_leader(threshold))
-    winner = F.get(_candidates(threshold), F.col("best.position"))
-    offer = F.struct((-F.col("best.ratio")).alias("distance"), winner.alias("leader"))
-    offers = compared.select("template", F.when(F.col("best.position").isNotNull(), offer).alias("offer"))
-    return (
-        offers.groupBy("template")
-        .agg(F.min("offer").alias("offer"))
-        .select("template", F.coalesce("offer.leader.text", "template").alias("command_group"))
-    )
+            break
+    best = found.groupBy("template").agg(F.min(F.struct("distance", "order", "leader")).alias("best"))
+    # Leaders have met earlier leaders as well, but none that is similar.
+    return every.join(best, "template", "left").select("template", F.coalesce("best.leader", "template").alias("command_group"))
 
 
 def distinct_templates(df: DataFrame, template: str = "normalized_command") -> DataFrame:
@@ -210,11 +161,22 @@ def group_templates(
     df: DataFrame, template: str = "normalized_command", threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH
 ) -> DataFrame:
     """(template, command_group) for every distinct template of ``df``."""
-    templates = materialize(distinct_templates(df, template))
-    leaders = find_leaders(templates, threshold, batch)
-    return assign_leaders(templates, leaders, threshold)
+    return group_ranked(materialize(distinct_templates(df, template)), threshold, batch)
 
 
 def with_command_group(df: DataFrame, groups: DataFrame, template: str = "normalized_command") -> DataFrame:
-    """Add ``command_group`` to every row."""
-    return df.join(groups.withColumnRenamed("template", template), template, "left")
+    """Add ``command_group`` to every row.
+
+    A template with at least 1 / COMMON_TEMPLATES of all rows is looked up in a broadcast, of which there can be no more than that; only rows of the
+    others are shuffled, so no template is a hot key.
+    """
+    counts = df.groupBy(F.col(template).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = (F.col("n") * COMMON_TEMPLATES >= total) & (F.octet_length("template") <= COMMON_TEMPLATE_BYTES)
+    common = materialize(groups.join(counts.where(often).select("template"), "template", "left_semi"))
+    labels = common.select(F.col("template").alias(template), F.col("command_group"), F.lit(True).alias("_common"))
+    looked = df.join(F.broadcast(labels), template, "left")
+    known = looked.where("_common").drop("_common")
+    rest = looked.where("_common IS NULL").drop("command_group", "_common").join(groups.withColumnRenamed("template", template), template, "left")
+    return known.unionByName(rest)

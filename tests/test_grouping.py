@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from argotlog.operators import grouping as G
+from argotlog.operators import similarity as S
 
 
 def lcs(a, b):
@@ -50,18 +52,21 @@ def test_groups_equal_the_sequential_definition(spark, threshold, batch):
         buckets[bucket] = [(t, rng.choice([1, 1, 1, 2, 9])) for t in texts]
     rows = [(b, t, n) for b, items in buckets.items() for t, n in items]
     templates = spark.createDataFrame(rows, "bucket string, template string, n bigint")
-    leaders = G.find_leaders(templates, threshold, batch)
-    groups = {r.template: r.command_group for r in G.assign_leaders(templates, leaders, threshold).collect()}
+    groups = {r.template: r.command_group for r in G.group_ranked(templates, threshold, batch).collect()}
     assert groups == brute_force(buckets, threshold)
 
 
-def test_shuffle_join_gives_the_same_groups(spark, monkeypatch):
-    monkeypatch.setattr(G, "BROADCAST_BYTES", -1)
-    texts = ["aaaa", "aaab", "zzzz"]
-    df = spark.createDataFrame([(t,) for t in texts], "normalized_command string")
-    templates = G.distinct_templates(df).withColumn("bucket", F.lit("x"))
-    groups = G.assign_leaders(templates, G.find_leaders(templates, 40), 40)
-    assert {r.template: r.command_group for r in groups.collect()} == {"aaaa": "aaaa", "aaab": "aaaa", "zzzz": "zzzz"}
+def test_salts_and_strides_give_the_same_groups(spark, monkeypatch):
+    """A bucket over many tasks, batches that grow, and texts too long to be compared side by side."""
+    monkeypatch.setattr(G, "SALT_ROWS", 20)
+    monkeypatch.setattr(G, "STRIDE", 16)
+    monkeypatch.setattr(G, "LARGEST_BATCH", 40)
+    rng = random.Random(5)
+    texts = sorted({"x " + "".join(rng.choices("abcdefg", k=rng.choice([3, 9, 40]))) for _ in range(300)} | {"x " + "ab" * n for n in (590, 600)})
+    rows = [("x", t, rng.choice([1, 1, 2])) for t in texts] + [(None, "alone", 1)]
+    templates = spark.createDataFrame(rows, "bucket string, template string, n bigint")
+    groups = {r.template: r.command_group for r in G.group_ranked(templates, 60, 10).collect()}
+    assert groups == brute_force({"x": [r[1:] for r in rows[:-1]], None: [rows[-1][1:]]}, 60)
 
 
 def test_rows_get_their_group(spark):
@@ -78,17 +83,26 @@ def test_rows_get_their_group(spark):
     }
 
 
-def test_character_counts_bound_the_common_subsequence():
-    common, bounds, rng = G.make_similarity(), G.make_bound(), random.Random(2)
-    texts = ["".join(rng.choices("abcdé中 -", k=rng.randint(0, 20))) for _ in range(60)]
-    for a in texts:
-        assert all(bound >= common(a, b) for b, bound in zip(texts, bounds(a, texts).tolist()))
+def test_many_pairs_at_once_equal_single_pairs():
+    rng = random.Random(2)
+    for alphabet, size in (("abcdé中 -", 20), ("ab", 150), ("abcdefghij /\U0001f600", 1300)):
+        left, right = (S.Texts(["".join(rng.choices(alphabet + extra, k=rng.randint(0, size))) for _ in range(25)]) for extra in ("", "z"))
+        i, j = (x.ravel() for x in np.indices((25, 25)))
+        expected = [G.make_similarity()(left.texts[a], right.texts[b]) for a, b in zip(i, j, strict=True)]
+        assert S.common_of_pairs(left, S.Patterns(right), i, j).tolist() == expected
+        assert (S.bounds(left, right, 0, 25).ravel() >= expected).all()
 
 
 def test_many_unlike_templates_of_one_root(spark):
     rng = random.Random(9)
-    rows = [("a.exe", "a.exe " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24)), 1) for _ in range(1500)]
-    templates = spark.createDataFrame(rows, "bucket string, template string, n bigint")
-    leaders = G.find_leaders(templates, 80)
-    groups = G.assign_leaders(templates, leaders, 80)
+    rows = [("a.exe", "a.exe " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24)), 1) for _ in range(6000)]
+    groups = G.group_ranked(spark.createDataFrame(rows, "bucket string, template string, n bigint").distinct(), 80)
     assert groups.count() == len({r[1] for r in rows}) and groups.where("template <> command_group").count() == 0
+
+
+def test_common_templates_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(G, "COMMON_TEMPLATES", 4)
+    df = spark.createDataFrame([("often",)] * 50 + [(f"t{i}",) for i in range(30)] + [(None,), ("no group",)], "normalized_command string")
+    groups = spark.createDataFrame([("often", "g1"), *((f"t{i}", "g2") for i in range(30))], "template string, command_group string")
+    got = G.with_command_group(df, groups)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("often", "g1")] * 50 + [(f"t{i}", "g2") for i in range(30)] + [(None, None), ("no group", None)], key=str)
