@@ -499,9 +499,9 @@ def topic_labels_on_rows(spark, folder):
 
 def groups_by_root(analysed: DataFrame) -> DataFrame:
     """A stand-in for fuzzy groups that SQL can say: the smallest template with the same root."""
-    templates = analysed.groupBy("normalized_command").agg(F.min("root_command").alias("root_command"))
+    templates = analysed.groupBy("normalized_command").agg(F.min("root_command").alias("root_command"), F.count(F.lit(1)).alias("n"))
     least = templates.groupBy("root_command").agg(F.min("normalized_command").alias("command_group"))
-    return templates.join(least, "root_command").select(F.col("normalized_command").alias("template"), "command_group")
+    return templates.join(least, "root_command").select(F.col("normalized_command").alias("template"), "command_group", "n")
 
 
 _GROUPS = f"""{S.ANALYSED}, tr AS (SELECT normalized_command, min(root_command) AS root_command FROM analysed GROUP BY 1),
@@ -510,8 +510,8 @@ _GROUPS = f"""{S.ANALYSED}, tr AS (SELECT normalized_command, min(root_command)
 
 @query(f"WITH {_GROUPS} SELECT row_id, command_group FROM analysed LEFT JOIN tg ON normalized_command = template")
 def command_groups_on_rows(spark, folder):
-    analysed = documents_of_topics(spark, folder)
-    return grouping.with_command_group(analysed, groups_by_root(analysed)).select("row_id", "command_group")
+    analysed = materialize(documents_of_topics(spark, folder).select("row_id", "normalized_command", "root_command"))
+    return grouping.with_command_group(analysed, materialize(groups_by_root(analysed))).select("row_id", "command_group")
 
 
 @query(
@@ -816,7 +816,7 @@ def parquet_round_trip(spark, folder):
 @query()
 def fuzzy_command_groups(spark, folder):
     """(template, command_group); the sequential definition cannot be said in SQL, tests check it against a plain loop."""
-    return grouping.group_templates(documents_of_topics(spark, folder))
+    return grouping.group_templates(documents_of_topics(spark, folder)).select("template", "command_group")
 
 
 # The sequential definition in SQL: common subsequences row by row (a new row is the running maximum of what the old one and a match allow), then leaders in
@@ -845,7 +845,7 @@ _PART_GROUPS = """WITH RECURSIVE t AS (SELECT p_name || ' ' || p_type AS templat
 def part_name_groups(spark, folder):
     """Names and types of the parts, grouped by similarity among those with the same first word."""
     names = table(spark, folder, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("normalized_command"))
-    return grouping.group_templates(names, threshold=70)
+    return grouping.group_templates(names, threshold=70).select("template", "command_group")
 
 
 def _small_model(documents: DataFrame, k: int = NUM_TOPICS) -> M.TopicModel:

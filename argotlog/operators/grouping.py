@@ -160,23 +160,22 @@ def distinct_templates(df: DataFrame, template: str = "normalized_command") -> D
 def group_templates(
     df: DataFrame, template: str = "normalized_command", threshold: int = DEFAULT_THRESHOLD, batch: int = BATCH
 ) -> DataFrame:
-    """(template, command_group) for every distinct template of ``df``."""
-    return group_ranked(materialize(distinct_templates(df, template)), threshold, batch)
+    """(template, command_group, n) for every distinct template of ``df`` and its number of rows."""
+    templates = materialize(distinct_templates(df, template))
+    return group_ranked(templates, threshold, batch).join(templates.select("template", "n"), "template")
 
 
 def with_command_group(df: DataFrame, groups: DataFrame, template: str = "normalized_command") -> DataFrame:
-    """Add ``command_group`` to every row.
+    """Add ``command_group`` to every row; ``groups`` has (template, command_group, n).
 
     A template with at least 1 / COMMON_TEMPLATES of all rows is looked up in a broadcast, of which there can be no more than that; only rows of the
-    others are shuffled, so no template is a hot key.
+    others are shuffled, so no template is a hot key.  ``df`` is read for the one kind and for the other, so it should be a table.
     """
-    counts = df.groupBy(F.col(template).alias("template")).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    often = (F.col("n") * COMMON_TEMPLATES >= total) & (F.octet_length("template") <= COMMON_TEMPLATE_BYTES)
-    common = materialize(groups.join(counts.where(often).select("template"), "template", "left_semi"))
-    labels = common.select(F.col("template").alias(template), F.col("command_group"), F.lit(True).alias("_common"))
-    looked = df.join(F.broadcast(labels), template, "left")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.coalesce((F.col("n") * COMMON_TEMPLATES >= total) & (F.octet_length("template") <= COMMON_TEMPLATE_BYTES), F.lit(False))
+    common = groups.where(often).select(F.col("template").alias(template), "command_group", F.lit(True).alias("_common"))
+    looked = df.join(F.broadcast(common), template, "left")
     known = looked.where("_common").drop("_common")
-    rest = looked.where("_common IS NULL").drop("command_group", "_common").join(groups.withColumnRenamed("template", template), template, "left")
+    others = groups.where(~often).select(F.col("template").alias(template), "command_group")
+    rest = looked.where("_common IS NULL").drop("command_group", "_common").join(others, template, "left")
     return known.unionByName(rest)

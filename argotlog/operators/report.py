@@ -23,7 +23,7 @@ def group_counts(df: DataFrame, labels: DataFrame, groups: DataFrame, template:
     Rows are counted per topic and template before anything is joined, so neither join sees a repeated command line twice.
     """
     counts = df.groupBy("topic", F.col(template).alias("template")).agg(F.count(F.lit(1)).alias("n"))
-    named = with_topic_label(counts.join(groups, "template"), labels)
+    named = with_topic_label(counts.join(groups.select("template", "command_group"), "template"), labels)
     return named.groupBy("topic_summary", "command_group").agg(F.sum("n").alias("n"))
 
 

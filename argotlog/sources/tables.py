@@ -5,13 +5,13 @@ A corpus is any frame with a text column, by convention ``command_line``.
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import command_line_fields
+from .records import read_column
 
 COMMAND_COLUMN = "command_line"
 
@@ -37,56 +37,25 @@ def drop_missing(df: DataFrame, column: str = COMMAND_COLUMN) -> DataFrame:
     return df.na.drop(subset=[column])
 
 
-def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of ``paths`` (files, folders, globs) by their header; the driver reads one line of each."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    hadoop = jvm.org.apache.hadoop
-    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
-    found: dict[tuple[str, ...], list[str]] = {}
-    for uri in sorted(spark.read.text(paths).inputFiles()):
-        path = hadoop.fs.Path(jvm.java.net.URI(uri))
-        stream, codec = path.getFileSystem(conf).open(path), codecs.getCodec(path)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        if line is not None:  # an empty file has no rows either
-            header = tuple(next(csv.reader([line.removeprefix("\ufeff")]), []))
-            found.setdefault(header, []).append(path.toString())
-    return found
-
-
 def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     column: str = COMMAND_COLUMN,
     missing_values: Sequence[str] = MISSING_VALUES,
-    multiline: bool = True,
     with_file: bool = False,
 ) -> DataFrame:
     """Command lines of one or many CSV files with a header, rows without a value dropped.
 
     Every file is read by its own header, so the column may be at another place in each; a file without it is an error.
-    Quotes inside a quoted cell are doubled and a backslash is an ordinary character, as Windows paths need.
-    ``multiline`` allows line ends inside quoted cells but makes each file one task; turn it off to split big files.
-    ``with_file`` adds the file each row came from as ``source_file``.
+    Quotes inside a quoted cell are doubled and a backslash is an ordinary character, as Windows paths need; quoted cells may hold line ends, and big files are
+    read by many tasks all the same.  ``with_file`` adds the file each row came from as ``source_file``.
     """
-    parts = None
-    for header, files in _files_by_header(spark, [paths] if isinstance(paths, str) else list(paths)).items():
-        if column not in header:
-            raise KeyError(f"Column '{column}' not found in {files[0]}. Available columns: {', '.join(header)}")
-        schema = ", ".join(f"c{i} string" for i in range(len(header)))
-        raw = spark.read.schema(schema).csv(files, header=True, quote='"', escape='"', multiLine=multiline)
-        value = F.col(f"c{header.index(column)}")
-        kept = [F.when(~value.isin(*missing_values), value).alias(COMMAND_COLUMN)]
-        if with_file:
-            kept.append(F.col("_metadata.file_path").alias("source_file"))
-        part = raw.select(*kept)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = spark.createDataFrame([], f"{COMMAND_COLUMN} string" + (", source_file string" if with_file else ""))
-    return drop_missing(parts)
+    found = read_column(spark, [paths] if isinstance(paths, str) else list(paths), column)
+    value = F.col("value")
+    kept = [F.when(~value.isin(*missing_values), value).alias(COMMAND_COLUMN)]
+    if with_file:
+        kept.append(F.col("file").alias("source_file"))
+    return drop_missing(found.select(*kept))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:

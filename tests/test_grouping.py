@@ -103,6 +103,6 @@ def test_many_unlike_templates_of_one_root(spark):
 def test_common_templates_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(G, "COMMON_TEMPLATES", 4)
     df = spark.createDataFrame([("often",)] * 50 + [(f"t{i}",) for i in range(30)] + [(None,), ("no group",)], "normalized_command string")
-    groups = spark.createDataFrame([("often", "g1"), *((f"t{i}", "g2") for i in range(30))], "template string, command_group string")
+    groups = spark.createDataFrame([("often", "g1", 50), *((f"t{i}", "g2", 1) for i in range(30))], "template string, command_group string, n bigint")
     got = G.with_command_group(df, groups)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("often", "g1")] * 50 + [(f"t{i}", "g2") for i in range(30)] + [(None, None), ("no group", None)], key=str)
