@@ -13,6 +13,7 @@ from ..functions.patterns import Rule
 from ..operators import coherence, grouping, labels, quality, report, risk, sampling, terms, topics
 from ..plans import model as M
 from ..plans.preprocess import analyse, enrich, preprocess
+from ..plans.run import Analysis, Options, run_files
 from ..session import materialize, scratch_path
 from ..sources import knowledge as kb
 from ..sources import tables
@@ -988,3 +989,32 @@ def planted_number_of_topics_by_coherence(spark, folder):
     documents = materialize(documents)
     best, _ = M.tune_by_coherence(documents, (1, 2), passes=2)
     return documents.agg(F.lit(best).alias("num_topics"), F.count(F.lit(1)).alias("rows"))
+
+
+_KEPT = f"""{S.ANALYSED}, kept AS (SELECT row_id, 0 AS topic, command_line, normalized_command, root_command FROM analysed WHERE len(tokens) >= 2),
+    flags AS (SELECT row_id, topic, regexp_extract_all(command_line, {S.keyword_pattern()}) AS found FROM kept)"""
+
+
+@query(f"WITH {_RISK.replace(_FLAGS, _KEPT)} SELECT {_SCORE_COLUMNS} FROM scores")
+def whole_run_risk(spark, folder):
+    """Scores that a whole run has saved, with one topic, so that SQL can say what is in it."""
+    analysis = Analysis(spark, Options(num_topics=1, passes=1, charts=False)).load(commands(spark, folder).select("command_line"))
+    analysis.keywords = list(KEYWORDS)
+    path = scratch_path(spark, "run")
+    analysis.preprocess().build_dictionary().train().assign().result().save(path)
+    return _rounded_scores(spark.read.parquet(f"{path}/topic_scores"))
+
+
+@query(
+    f"""WITH {_KEPT} SELECT CAST(row_id % 3 AS INTEGER) AS part, root_command, count(*) AS n, count(DISTINCT normalized_command) AS templates
+    FROM kept GROUP BY 1, 2"""
+)
+def runs_of_many_files(spark, folder):
+    """Three CSV data sets analysed as a batch: the documents that each run has saved, by root executable."""
+    path = scratch_path(spark, "batch")
+    for part in range(3):
+        tables.write_csv(commands(spark, folder).where(F.col("row_id") % 3 == part).select("command_line"), f"{path}/in/part_{part}")
+    folders = run_files(spark, [f"{path}/in/part_{i}" for i in range(3)], f"{path}/out", Options(num_topics=1, passes=1, charts=False))
+    saved = [spark.read.parquet(f"{out}/documents").withColumn("part", F.lit(i)) for i, out in enumerate(folders.values())]
+    every = saved[0].unionByName(saved[1]).unionByName(saved[2])
+    return every.groupBy("part", "root_command").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("normalized_command").alias("templates"))

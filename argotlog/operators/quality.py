@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def corpus_quality(df: DataFrame, column: str = COMMAND_COLUMN) -> DataFrame:
-    """One row: size, filled and distinct values, share of duplicates, and the verdict on them.
+def corpus_quality(df: DataFrame, column: str = COMMAND_COLUMN, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of ``by``: size, filled and distinct values, share of duplicates, and the verdict on them.
 
     Copies are combined before the shuffle, and the shuffle carries fixed-size keys and not texts.  Nulls count as one
     distinct value.
     """
     require_column(df, column)
-    counts = df.select(text_key(F.col(column)).alias("key")).agg(
+    counts = df.select(*by, text_key(F.col(column)).alias("key")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("key").alias("n_valid"),
         F.countDistinct("key").alias("n_keys"),
@@ -45,6 +47,7 @@ def corpus_quality(df: DataFrame, column: str = COMMAND_COLUMN) -> DataFrame:
         counts.withColumn("n_distinct", distinct)
         .withColumn("duplicate_ratio", ratio)
         .select(
+            *by,
             "n_rows",
             "n_valid",
             "n_distinct",
@@ -58,8 +61,12 @@ def corpus_quality(df: DataFrame, column: str = COMMAND_COLUMN) -> DataFrame:
 def require_usable(df: DataFrame, column: str = COMMAND_COLUMN):
     """Raise ``ValueError`` for a corpus too small to analyse, else return its quality row."""
     row = corpus_quality(df, column).first()
-    if row.n_rows == 0:
-        raise ValueError("the corpus is empty")
-    if not row.is_valid:
-        raise ValueError(f"too few valid command lines: {row.n_valid} (at least {MIN_ROWS} needed)")
+    check_usable(row.n_rows, row.n_valid)
     return row
+
+
+def check_usable(rows: int, valid: int, name: str = "the corpus") -> None:
+    if rows == 0:
+        raise ValueError(f"{name} is empty")
+    if valid < MIN_ROWS:
+        raise ValueError(f"too few valid command lines in {name}: {valid} (at least {MIN_ROWS} needed)")

@@ -134,7 +134,11 @@ class Analysis:
 
     def preprocess(self) -> Analysis:
         prepared = preprocess(self.corpus, self.options.rules, self.options.min_tokens)
-        self.documents = materialize(tables.with_row_id(prepared))
+        return self.take(materialize(tables.with_row_id(prepared)))
+
+    def take(self, documents: DataFrame) -> Analysis:
+        """Go on with a table of preprocessed documents that have a ``row_id``."""
+        self.documents = documents
         if self.options.isolate_below:
             flagged = terms.flag_rare(self.documents, "normalized_command", "row_id", self.options.isolate_below)
             self.documents = materialize(flagged)
@@ -234,15 +238,57 @@ def _names(paths: Sequence[str]) -> list[str]:
     return [f"{i}-{name}" for i, name in enumerate(names)]
 
 
+_RUN = "_run"
+
+
+def _prepared(spark: SparkSession, paths: Sequence[str], options: Options) -> tuple[DataFrame, list[str] | None]:
+    """(preprocessed documents of all ``paths`` with the number of the path as ``_run``, keywords): read, checked, enriched and preprocessed together."""
+    owners = [(uri, number) for number, path in enumerate(paths) for uri in spark.read.text(path).inputFiles()]
+    # Without a host, a location is written with one slash or with three.
+    place = F.regexp_replace("source_file", "^([^:/]+):///", "$1:/").alias("source_file")
+    owner = spark.createDataFrame(owners, f"source_file string, {_RUN} int").select(place, _RUN)
+    corpus = tables.read_csv(spark, list(paths), with_file=True).select("command_line", place).join(owner, "source_file").drop("source_file")
+    if options.limit:
+        keyed = materialize(tables.with_row_id(corpus))
+        parts = [sampling.sample_exact(keyed.where(F.col(_RUN) == i), options.limit, "row_id", options.seed) for i in range(len(paths))]
+        corpus = parts[0].drop("row_id")
+        for part in parts[1:]:
+            corpus = corpus.unionByName(part.drop("row_id"))
+    found = {row[_RUN]: row for row in quality.corpus_quality(corpus, by=[_RUN]).collect()}
+    for number, path in enumerate(paths):
+        row = found.get(number)
+        quality.check_usable(row.n_rows if row else 0, row.n_valid if row else 0, path)
+        if row.mostly_duplicates:
+            log.warning("%.1f %% of %s are duplicates, which may harm the topic model", row.duplicate_ratio * 100, path)
+    analysis = Analysis(spark, options)
+    analysis.corpus = corpus
+    analysis.enrich()
+    corpus = analysis.corpus
+    if analysis.keywords is not None:
+        # The examples of the knowledge base belong to every run.
+        runs = F.explode(F.when(F.col(_RUN).isNull(), F.array(*map(F.lit, range(len(paths))))).otherwise(F.array(_RUN)))
+        corpus = corpus.withColumn(_RUN, runs)
+    prepared = preprocess(corpus, options.rules, options.min_tokens)
+    return materialize(tables.with_row_id(prepared)), analysis.keywords
+
+
 def run_files(spark: SparkSession, paths: Sequence[str], output: str, options: Options = Options()) -> dict[str, str]:
-    """One run per CSV file, since each gets a model of its own; returns the output folder of each file.
+    """One model per CSV file (or folder, or glob); returns the output folder of each.
 
-    A folder bears the name of its file; files of one name also get the names of as many folders above them as tell them apart.
+    All files are read, checked, enriched and preprocessed in one go, with the file as a key; only the models are trained one after the other.  A folder bears the
+    name of its file; files of one name also get the names of as many folders above them as tell them apart.
     """
-    folders = {}
-    for path, name in zip(paths, _names(paths)):
-        folder = f"{output.rstrip('/')}/{name}"
-        with temporary_tables(spark):
-            run(spark, tables.read_csv(spark, path), options).save(folder)
-        folders[path] = folder
+    names, folders = _names(paths), {}
+    with temporary_tables(spark):
+        documents, keywords = _prepared(spark, paths, options)
+        for number, (path, name) in enumerate(zip(paths, names)):
+            folder = f"{output.rstrip('/')}/{name}"
+            with temporary_tables(spark):
+                analysis = Analysis(spark, options)
+                analysis.keywords = keywords
+                analysis.take(documents.where(F.col(_RUN) == number).drop(_RUN)).build_dictionary()
+                if options.tune:
+                    analysis.tune()
+                analysis.train().assign().result().save(folder)
+            folders[path] = folder
     return folders

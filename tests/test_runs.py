@@ -125,6 +125,16 @@ def test_files_and_job(spark, tmp_path):
         paths.append(path)
     folders = run_files(spark, paths, str(tmp_path / "many"), Options(num_topics=2, passes=1, charts=False))
     assert sorted(os.listdir(tmp_path / "many")) == ["set_1", "set_2"] and len(folders) == 2
+    for path, folder in folders.items():
+        alone = Analysis(spark).load_csv(path).preprocess().documents
+        columns = ["command_line", "normalized_command", "tokens", "root_command"]
+        saved = spark.read.parquet(f"{folder}/documents").select(columns)
+        assert saved.exceptAll(alone.select(columns)).count() == 0 and saved.count() == alone.count() == 60
+        assert TopicModel.load(f"{folder}/model").vocabulary_size == alone.select(F.explode("tokens")).distinct().count()
+    few = str(tmp_path / "few.csv")
+    tables.write_csv(synthetic.synthetic_commands(spark, 4).select("command_line"), few)
+    with pytest.raises(ValueError, match="few.csv: 4"):
+        run_files(spark, [*paths, few], str(tmp_path / "none"), Options(num_topics=2))
     arguments = ["--input", *paths, "--topics", "2", "--no-tune", "--no-visualize", "--output", str(tmp_path / "job")]
     assert job.main(arguments).documents.count() == 120
     assert os.path.isdir(tmp_path / "job" / "topic_summary")
