@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from argotlog.llm import sql
 from argotlog.llm.decontaminate import contamination
 from argotlog.llm.jaccard import linked_texts
@@ -118,7 +117,6 @@ QUERIES = {
     "op11_token_files": op11_token_files,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_ranked_search": op13_ranked_search,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

@@ -195,11 +195,12 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, within: int |
     many words from an occurrence of its rarest one; a stretch is then that occurrence.  Items without words have no phrase.
     """
     spark = index.sparkSession
-    found = None
+    found, broadcasts = None, []
     schema = "segment bigint, at int, item_id string, starts array<int>, ends array<int>"
     chosen = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     for block in _blocks(chosen, window):
         sent = spark.sparkContext.broadcast(block)
+        broadcasts.append(sent)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, tokens, phrase, (size, owner) = sent.value
@@ -215,7 +216,10 @@ def matches(index: DataFrame, items: DataFrame, window: int = 10, within: int |
 
         part = index.select("segment", "n_words", "token", "list", "position").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    return table(found if found is not None else spark.createDataFrame([], schema), "matches")
+    out = table(found if found is not None else spark.createDataFrame([], schema), "matches")
+    for sent in broadcasts:
+        sent.destroy()
+    return out
 
 
 def _merged(segment: int, s: _Segment, ids: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ ORDERED_SHINGLES = 1 << 18
 # Rounds in which each list that still holds several components gets a new pivot, before pairs are compared.
 HUB_ROUNDS = 2
 # A task looks for common shingles in so many bytes of sets at a time.
-GATHERED_BYTES = 1 << 25
+GATHERED_BYTES = 1 << 24
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -207,7 +207,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, members: DataFrame, key
 
 def _possible(percent: int, size_a: Column, at_a: Column, size_b: Column, at_b: Column) -> Column:
     """May two sets be linked whose first common element is at these positions?  Integers only."""
-    most = F.least(size_a - at_a, size_b - at_b).cast("long")
+    size_a, size_b = size_a.cast("long"), size_b.cast("long")
+    most = F.least(size_a - at_a, size_b - at_b)
     return ((100 + percent) * most >= percent * (size_a + size_b)) & (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
 
 
@@ -265,6 +266,7 @@ def linked_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     common = docs.sparkSession.sparkContext.broadcast(_order(both.where("sets is not null").select("shingle", "sets")))
 
     prefixes = table(_prefixes(source, k, percent, common), "prefixes")
+    common.destroy()
     lists = prefixes.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     entries = table(prefixes.join(lists.select("shingle", "pivot"), "shingle"), "entries")
     drop(prefixes)

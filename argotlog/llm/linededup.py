@@ -53,7 +53,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Of the occurrences of a chunk, the first by (``key``, nulls first; row; place) stays; the others go if their bytes are those of the first.  Chunks have
     two lines or more with a character that is no blank among them; a text of one line has none.  Null texts stay null with no lines; the
-    empty text has one line.  A text may become empty.  Repeated rows are occurrences like others.  Columns that bear the new names
+    empty text has one line.  A text may become empty.  A boundary depends on four lines, so of a repeated passage of six lines or more some chunk is sure to
+    be met, whatever is around it; of two to five repeated lines only where boundaries happen to fall beside them.  Repeated rows are occurrences like others.  Columns that bear the new names
     already are replaced.
     """
     row, lines, chunks, gone = fresh(docs.columns, "row", "lines", "chunks", "gone")

@@ -133,10 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl | None = None, rows: int =
     for _ in range(how.rounds):
         touched = np.flatnonzero(n)
         start = spark.sparkContext.broadcast((touched, z[touched], n[touched]))
-        state = train.groupBy("shard").applyInPandas(_round(start, how), "feature bigint, z double, n double")
-        # Weights far from the L1 threshold in every shard need not travel.
-        used = state.where((F.abs("z") > how.l1 / 2) | (F.col("feature") == SPACE))
-        mean = used.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).orderBy("feature").toPandas()
+        # By range, since a few shard numbers may share a partition by hash.
+        state = train.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(_round(start, how), "feature bigint, z double, n double")
+        mean = state.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
+        # What is far below the L1 threshold on average over all shards has no weight and need not travel.
+        mean = mean.where((F.abs("z") > how.l1 / 2) | (F.col("feature") == SPACE)).toPandas()
+        start.destroy()
         z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
         z[mean["feature"]], n[mean["feature"]] = mean["z"], mean["n"]
     drop(train)

@@ -2,7 +2,7 @@ import pytest
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use inside, or give to results.
-CLASHING = ("row", "score", "predicted", "kept", "n_lines_", "ids_", "state_", "segment", "at", "hit", "key", "c0", "value", "id", "a", "b", "_ids", "after", "component", "language", "texts", "first", "hash")
+CLASHING = ("row", "score", "predicted", "kept", "n_lines", "n_removed", "ids", "state", "n_tokens", "same", "n_encoded", "segment", "at", "hit", "key", "c0", "value", "id", "a", "b", "_ids", "after", "component", "language", "texts", "first", "hash")
 
 LONG = " ".join(f"w{i % 977} x{i * 7919 % 10007}" for i in range(60_000))
 PROSE = (
