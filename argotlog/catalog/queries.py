@@ -11,6 +11,7 @@ from ..functions import keywords as K
 from ..functions import text as T
 from ..functions.patterns import Rule
 from ..operators import coherence, grouping, labels, quality, report, risk, sampling, terms, topics
+from ..operators.keyword_table import matches_of_table
 from ..plans import model as M
 from ..plans.preprocess import analyse, enrich, preprocess
 from ..plans.run import Analysis, Options, run_files
@@ -186,6 +187,34 @@ def keyword_matches(spark, folder):
     return found.select("row_id", glued("found").alias("matches"), F.size("found").cast("bigint").alias("n_matches"))
 
 
+@query(
+    f"""WITH {S.CMDS}, found AS (SELECT row_id, regexp_extract_all(command_line, {S.keyword_pattern()}) AS found FROM cmds)
+    SELECT row_id, {sql_glued('found')} AS matches, CAST(len(found) AS BIGINT) AS n_matches FROM found"""
+)
+def keyword_matches_by_table(spark, folder):
+    """The same with the keywords as a table, which may be of any size."""
+    words = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    texts = materialize(commands(spark, folder).select("row_id", "command_line"))
+    found = matches_of_table(texts, words, "row_id", "command_line", name="found")
+    return found.select("row_id", glued("found").alias("matches"), F.size("found").cast("bigint").alias("n_matches"))
+
+
+@query(
+    """SELECT o_orderkey AS row_id, concat(x.p_name, ' ¦ ', y.p_name) AS matches FROM orders
+    JOIN part x ON x.p_partkey = o_orderkey % (SELECT count(*) FROM part) JOIN part y ON y.p_partkey = o_custkey % (SELECT count(*) FROM part)"""
+)
+def part_names_in_texts(spark, folder):
+    """All part names in texts that hold two of them as whole words and twice as parts of longer words; the names are a table of keywords."""
+    part = table(spark, folder, "part").select("p_partkey", "p_name")
+    n = part.count()
+    x, y = (part.select(F.col("p_partkey").alias(f"{s}k"), F.col("p_name").alias(s)) for s in "xy")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % n).alias("xk"), (F.col("o_custkey") % n).alias("yk"))
+    text = F.concat("x", F.lit("-"), "y", F.lit("s "), "y", F.lit("."), "x", F.lit("_"))
+    texts = materialize(orders.join(x, "xk").join(y, "yk").select("row_id", text.alias("text")))
+    found = matches_of_table(texts, part.select(F.col("p_name").alias("keyword")), "row_id", "text")
+    return found.select("row_id", glued("matches").alias("matches"))
+
+
 PROSE_WORDS = ("and", "die", "le", "que", "que la", "the", "é")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import keyword_matches
 from ..sources.tables import COMMAND_COLUMN
+from .keyword_table import matches_of_table
 from .topics import top_per_group
 
 # --- Fixed values: the weights of the three parts of the score. ---
@@ -17,27 +18,37 @@ WEIGHT_DISTINCT = 5.0
 WEIGHT_PER_DOCUMENT = 10.0
 
 
+def with_matches(
+    df: DataFrame, keywords: Sequence[str] | DataFrame, text: str, case_sensitive: bool, key: str, name: str = "matches"
+) -> DataFrame:
+    """Add the matches of a list of keywords, or of a table (keyword) of any size, for which ``key`` has to tell the rows apart."""
+    if isinstance(keywords, DataFrame):
+        return matches_of_table(df, keywords, key, text, case_sensitive, name)
+    return df.withColumn(name, keyword_matches(F.col(text), keywords, case_sensitive))
+
+
 def flag_keywords(
-    df: DataFrame, keywords: Sequence[str], text: str = COMMAND_COLUMN, case_sensitive: bool = True
+    df: DataFrame, keywords: Sequence[str] | DataFrame, text: str = COMMAND_COLUMN, case_sensitive: bool = True, key: str = "row_id"
 ) -> DataFrame:
     """Add ``contains_lolbas`` and ``lolbas_count``, from one search of each text."""
-    found = F.size(keyword_matches(F.col(text), keywords, case_sensitive))
-    return df.withColumn("lolbas_count", found).withColumn("contains_lolbas", F.col("lolbas_count") > 0)
+    found = with_matches(df, keywords, text, case_sensitive, key, "_matches")
+    return found.withColumn("lolbas_count", F.size("_matches")).drop("_matches").withColumn("contains_lolbas", F.col("lolbas_count") > 0)
 
 
 def keyword_counts(
     df: DataFrame,
-    keywords: Sequence[str],
+    keywords: Sequence[str] | DataFrame,
     topic: str = "topic",
     text: str = COMMAND_COLUMN,
     case_sensitive: bool = True,
+    key: str = "row_id",
 ) -> DataFrame:
     """(topic, keyword, n_docs, n_keyword_docs, n_matches), the base of all risk figures.
 
     Every row gives one record without keyword that counts the document, and one record per match.  Combined inside each task
     there are at most topics x keywords records, so the shuffle is tiny whatever the size of a topic.
     """
-    matches = df.select(F.col(topic), keyword_matches(F.col(text), keywords, case_sensitive).alias("matches"))
+    matches = with_matches(df, keywords, text, case_sensitive, key).select(topic, "matches")
     document = F.struct(
         F.lit(None).cast("string").alias("keyword"),
         F.lit(1).alias("docs"),
@@ -74,16 +85,17 @@ def topic_risk(counts: DataFrame, topic: str = "topic") -> DataFrame:
 
 def score_topics(
     df: DataFrame,
-    keywords: Sequence[str],
+    keywords: Sequence[str] | DataFrame,
     topic: str = "topic",
     text: str = COMMAND_COLUMN,
     case_sensitive: bool = True,
+    key: str = "row_id",
 ) -> DataFrame:
     """Risk figures per topic, riskiest first.
 
     ``lolbas_count`` is the number of documents with a keyword; ``unique_lolbas`` counts the keywords found in them.
     """
-    return topic_risk(keyword_counts(df, keywords, topic, text, case_sensitive), topic)
+    return topic_risk(keyword_counts(df, keywords, topic, text, case_sensitive, key), topic)
 
 
 def top_keywords(counts: DataFrame, k: int = 5, topic: str = "topic") -> DataFrame:

@@ -96,7 +96,7 @@ class Analysis:
         self.documents: DataFrame | None = None
         self.dictionary = None
         self.model: M.TopicModel | None = None
-        self.keywords: list[str] | None = None
+        self.keywords: list[str] | DataFrame | None = None
         self.tuning: list[tuple[int, float]] = []
 
     def load(self, corpus: DataFrame) -> Analysis:
@@ -128,7 +128,7 @@ class Analysis:
             log.warning("knowledge base not found, going on without: %s", error)
             return self
         base = kb.parsed_base(documents)
-        self.keywords = kb.keyword_list(base, self.options.stop_keywords)
+        self.keywords = kb.search_keywords(base, self.options.stop_keywords)
         self.corpus = enrich(self.corpus, kb.example_commands(base))
         return self
 
@@ -214,8 +214,10 @@ class Analysis:
             }
             if out.scores is not None:
                 out.charts["risk"] = report.risk_bars(out.scores, names)
-                visible = report.hide_keyword_groups(leaves, self.keywords)
-                out.charts["treemap_filtered"] = report.treemap(visible)
+                if isinstance(self.keywords, DataFrame):
+                    log.warning("keywords are too many to look for inside of words: no chart without them")
+                else:
+                    out.charts["treemap_filtered"] = report.treemap(report.hide_keyword_groups(leaves, self.keywords))
         return out
 
 
@@ -241,7 +243,7 @@ def _names(paths: Sequence[str]) -> list[str]:
 _RUN = "_run"
 
 
-def _prepared(spark: SparkSession, paths: Sequence[str], options: Options) -> tuple[DataFrame, list[str] | None]:
+def _prepared(spark: SparkSession, paths: Sequence[str], options: Options) -> tuple[DataFrame, list[str] | DataFrame | None]:
     """(preprocessed documents of all ``paths`` with the number of the path as ``_run``, keywords): read, checked, enriched and preprocessed together."""
     owners = [(uri, number) for number, path in enumerate(paths) for uri in spark.read.text(path).inputFiles()]
     # Without a host, a location is written with one slash or with three.

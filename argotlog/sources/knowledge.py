@@ -16,6 +16,9 @@ from ..functions.text import first_word
 from ..session import materialize
 from .tables import COMMAND_COLUMN
 
+# Up to so many keywords make one search pattern; more are a table that texts are joined with.
+PATTERN_KEYWORDS = 5000
+
 log = logging.getLogger(__name__)
 
 _COMMAND = (
@@ -117,6 +120,13 @@ def keywords(knowledge: DataFrame) -> DataFrame:
 
 
 def keyword_list(knowledge: DataFrame, stop_keywords: Sequence[str] = ()) -> list[str]:
-    """Sorted keywords on the driver, where they become one search pattern: a handful per document of the knowledge base."""
+    """Sorted keywords on the driver, where they become one search pattern."""
     rows = keywords(knowledge).filter(~F.col("keyword").isin(*stop_keywords) if stop_keywords else F.lit(True))
     return sorted(row.keyword for row in rows.collect())
+
+
+def search_keywords(knowledge: DataFrame, stop_keywords: Sequence[str] = (), most: int = PATTERN_KEYWORDS) -> list[str] | DataFrame:
+    """The keywords as a list for one search pattern, or as a table (keyword) if there are more than ``most``."""
+    found = keywords(knowledge).filter(~F.col("keyword").isin(*stop_keywords) if stop_keywords else F.lit(True))
+    first = [row.keyword for row in found.limit(most + 1).collect()]
+    return sorted(first) if len(first) <= most else materialize(found)
