@@ -6,8 +6,8 @@ underscores first, which makes it a word character for RE2 without touching any
 
 from __future__ import annotations
 
-from ..functions.keywords import alternation
-from ..functions.patterns import ACTIVITY_CATEGORIES, EXECUTABLE_ENDINGS
+import re
+
 from ..sources.synthetic import TEMPLATES
 from .corpus import KEYWORDS, NUM_TOPICS
 
@@ -20,6 +20,19 @@ def in_list(words) -> str:
     return "[" + ", ".join(quoted(w) for w in words) + "]"
 
 
+# --- Fixed values: replacement rules, token kinds, endings of executables and words of activities, spelled out here a second time, so that an error in one
+# place shows against the other. ---
+_ENDINGS = "exe|com|bat|cmd|ps1|scr|cpl"
+_ACTIVITIES = (
+    ("network", "http|url|download|web|net|tcp|ip|port"),
+    ("file", "file|dir|copy|move|delete|write|read|path"),
+    ("registry", "reg|hkey|hklm|hkcu|registry|key"),
+    ("execution", "exec|run|start|invoke|call|execute|launch"),
+    ("scripting", "script|powershell|cmd|batch|command"),
+    ("admin", "admin|user|privilege|elevated|system"),
+    ("scheduled", "task|schtasks|schedule|cron|at"),
+    ("encoding", "encode|decode|base64|certutil"),
+)
 _RULES = (
     (r"\{?[a-f0-9]{8}-([a-f0-9]{4}-){3}[a-f0-9]{12}\}?", "<GUID>", "gi"),
     (r"\b[a-f0-9]{32,}\b", "<LONG_HEX_STRING>", "gi"),
@@ -78,10 +91,9 @@ def basename(path: str) -> str:
 
 def with_root(source: str, text: str, name: str = "root_command") -> str:
     """``SELECT *, root`` over a relation."""
-    endings = "|".join(EXECUTABLE_ENDINGS)
     return rf"""(SELECT * EXCLUDE (parts0, parts, pos, program), {basename('program')} AS {name} FROM (
         SELECT *, trim(CASE WHEN pos > 0 THEN array_to_string(parts[1:pos], ' ') ELSE coalesce(parts[1], '') END, '"') AS program FROM (
-        SELECT *, list_position([regexp_matches(lower(p), '\.({endings})$') FOR p IN parts], true) AS pos FROM (
+        SELECT *, list_position([regexp_matches(lower(p), '\.({_ENDINGS})$') FOR p IN parts], true) AS pos FROM (
         SELECT *, CASE WHEN list_contains(parts0, '"') OR list_contains(parts0, '''') THEN regexp_extract_all({text}, '\S+') ELSE parts0 END AS parts FROM (
         SELECT *, regexp_extract_all({text}, '"[^"]*"|''[^'']*''|[^ \t\r\n"''][^ \t\r\n]*|["'']') AS parts0 FROM {source})))))"""
 
@@ -91,13 +103,13 @@ def capitalize(text: str) -> str:
 
 
 def keyword_pattern(keywords=KEYWORDS) -> str:
-    return quoted(r"\b(" + alternation(keywords) + r")\b")
+    return quoted(r"\b(" + "|".join(re.sub(r"([^\w\s])", r"\\\1", k) for k in sorted(set(keywords))) + r")\b")
 
 
 def category(tokens: str) -> str:
     cases = " ".join(
-        f"WHEN len([t FOR t IN {tokens} IF regexp_matches(t, '{'|'.join(words)}')]) > 0 THEN '{name}'"
-        for name, words in ACTIVITY_CATEGORIES
+        f"WHEN len([t FOR t IN {tokens} IF regexp_matches(t, '{words}')]) > 0 THEN '{name}'"
+        for name, words in _ACTIVITIES
     )
     return f"CASE {cases} END"
 

@@ -151,3 +151,10 @@ def test_exact_quartiles(spark):
     assert abs(row.sd_length - 10**0.5) < 1e-12
     assert topics.length_distribution(df, exact=False).first().median == 3.0
     assert spark.range(1).select(words(F.lit("a\u00a0b")).alias("w")).first().w == ["a", "b"]
+
+
+def test_box_statistics_of_very_many_rows(spark):
+    """One topic with 4 * 10^8 rows of 30 and 31 tokens: the products of its sums do not fit 64 bits."""
+    counts = spark.createDataFrame([(0, 30, 200_000_000), (0, 31, 200_000_000), (1, 5, 4)], "topic int, length int, n bigint")
+    rows = topics._box(counts, "topic", F.percentile("length", [0.25, 0.5, 0.75], F.col("n"))).collect()
+    assert [(r.n_docs, r.mean_length, r.sd_length, r.q1, r.q3) for r in rows] == [(400_000_000, 30.5, 0.5, 30.0, 31.0), (4, 5.0, 0.0, 5.0, 5.0)]

@@ -1,4 +1,7 @@
-"""Text functions: cases worked out by hand, and properties against the Python standard library."""
+"""Text functions: cases worked out by hand, and properties against the Python standard library.
+
+Rules and token kinds that are restated here as expectations are fixed values.
+"""
 
 import ntpath
 import random
