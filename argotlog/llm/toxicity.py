@@ -26,6 +26,8 @@ BEGINNING = 5
 # The classifier is fitted on at most about so many labelled rows, taken by a hash of their ids, in shards of about so many.
 LABELLED_ROWS = 48_000
 SHARD_ROWS = 4_000
+# Features of the state that are averaged together.
+STATE_BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -105,8 +107,28 @@ def _round(start, how: Ftrl):
         _learn(_features_of(part["text"]), part["toxic"].to_numpy(), z, n, how)
         del part
         give_back()
-        seen = np.flatnonzero(n)
-        return pd.DataFrame({"feature": seen, "z": z[seen].astype(float), "n": n[seen].astype(float)})
+        # Which features were touched is a bit for each; their numbers follow in order.
+        blocks = [slice(a, a + STATE_BLOCK) for a in range(0, SPACE + 1, STATE_BLOCK)]
+        seen = [n[b] > 0 for b in blocks]
+        pairs = list(zip(blocks, seen, strict=True))
+        return pd.DataFrame({"block": np.arange(len(blocks)), "feature": [np.packbits(s).tobytes() for s in seen], "z": [z[b][s].tobytes() for b, s in pairs], "n": [n[b][s].tobytes() for b, s in pairs]})
+
+    return run
+
+
+def _mean(shards: int, least: float):
+    """The state of a block of features, averaged over all shards; then what is below ``least`` is left out."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        base = int(parts["block"].iloc[0]) * STATE_BLOCK
+        z, n = np.zeros(STATE_BLOCK), np.zeros(STATE_BLOCK)
+        for feature, z_i, n_i in zip(parts["feature"], parts["z"], parts["n"], strict=True):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(feature, np.uint8)))
+            z[at] += np.frombuffer(z_i, np.float32)
+            n[at] += np.frombuffer(n_i, np.float32)
+        z, n = z / shards, n / shards
+        kept = np.flatnonzero((np.abs(z) > least) | ((np.arange(STATE_BLOCK) + base == SPACE) & (n > 0)))
+        return pd.DataFrame({"feature": kept + base, "z": z[kept], "n": n[kept]})
 
     return run
 
@@ -134,10 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl | None = None, rows: int =
         touched = np.flatnonzero(n)
         start = spark.sparkContext.broadcast((touched, z[touched], n[touched]))
         # By range, since a few shard numbers may share a partition by hash.
-        state = train.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(_round(start, how), "feature bigint, z double, n double")
-        mean = state.groupBy("feature").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n"))
+        state = train.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(_round(start, how), "block int, feature binary, z binary, n binary")
         # What is far below the L1 threshold on average over all shards has no weight and need not travel.
-        mean = mean.where((F.abs("z") > how.l1 / 2) | (F.col("feature") == SPACE)).toPandas()
+        mean = state.groupBy("block").applyInPandas(_mean(shards, how.l1 / 2), "feature bigint, z double, n double").toPandas()
         start.destroy()
         z, n = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
         z[mean["feature"]], n[mean["feature"]] = mean["z"], mean["n"]
