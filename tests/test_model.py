@@ -225,3 +225,40 @@ def test_windows_of_a_long_document(spark):
         expected[key] = expected.get(key, 0) + 1
     df = spark.createDataFrame([(tokens,)], "tokens array<string>")
     assert {tuple(r.content): r.n for r in window_contents(df, words, 110).collect()} == expected
+
+
+def test_digamma_and_log_gamma():
+    x = np.array([1e-3, 0.1, 0.5, 1.0, 3.3, 7.9, 8.0, 40.0, 1e6])
+    assert np.allclose(lda.digamma(x), [plain_digamma(v) for v in x], rtol=1e-9, atol=1e-12)
+    assert np.allclose(lda.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
+def test_documents_in_short_runs_are_fitted_alike(small, monkeypatch):
+    """Runs of one document each, or all together: the same shares, as the order and number of tokens do not matter."""
+    model = M.train(small, 3, passes=1)
+    found = []
+    for cells in (1, lda.RUN_CELLS):
+        monkeypatch.setattr(lda, "RUN_CELLS", cells)
+        bag = {t: float(n) for t, n in bags(small)[3].items()}
+        ends = np.array([len(bag), 2 * len(bag)])
+        d = lda._documents(np.tile(np.arange(len(bag)), 2), np.array(list(bag.values()) * 2), ends, np.arange(len(bag)), np.array([table_of(model.weights)[t] for t in bag]), len(bag))
+        found.append(lda.fit(d, lda._betas(d, model.weights.totals, slice(0, 3)), np.array(model.alpha)))
+    assert np.allclose(*found) and np.allclose(found[0][0], found[0][1])
+
+
+def test_bags_need_no_sorting_expressions(spark):
+    """Terms are counted for whole batches: neither the dictionary nor the blocks sort and cut the tokens of each row by interpreted expressions."""
+    df = spark.createDataFrame([(1, ["b", "a", "a", None]), (2, ["a", "b", "a"]), (3, []), (4, None), (5, [None])], "row_id int, tokens array<string>")
+    counted = lda.counted_terms(df)
+    assert sorted(map(tuple, counted.collect())) == [("a", 2, 4), ("b", 2, 2)]
+    assert "array_sort" not in counted._jdf.queryExecution().toString()
+    (block,) = lda.slices(df.coalesce(1), 1, 2, 1).collect()
+    assert block.carried == [2] and dict(zip(block.terms, np.frombuffer(block.n)[np.argsort(np.frombuffer(block.term, np.int32))], strict=True)) == {"a": 2.0, "b": 1.0}
+
+
+def test_a_short_document_is_one_window(spark):
+    rows = [(["b", "x", "a", "b", None],), ([],), (["x"],), (["a"] * 10,), (["a"] * 9 + ["b", "x"],)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    found = {tuple(r.content): r.n for r in window_contents(df, ["a", "b"], 10).collect()}
+    assert found == {("a", "b"): 3, (): 2, ("a",): 1}
+    assert {tuple(r.content): r.n for r in window_contents(df, ["a", "b"], None).collect()} == {("a", "b"): 2, (): 2, ("a",): 1}
