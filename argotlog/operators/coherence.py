@@ -24,15 +24,19 @@ def window_contents(df: DataFrame, words: Sequence[str], window: int | None, tok
     content, so they collapse inside the task, before the shuffle and before pairs are formed.
     """
     marked = F.transform(tokens, lambda t: F.when(t.isin(*words), t))
+    seen = F.sort_array(F.array_distinct(F.filter(tokens, lambda t: t.isin(*words))))
     if window is None:
-        contents = df.select(F.array_sort(F.array_compact(F.array_distinct(marked))).alias("content"))
+        contents = df.select(seen.alias("content"))
     else:
         # Windows begin at 1 .. last; a piece holds the tokens of the windows that begin at start .. start + PIECE - 1.
         last = F.greatest(F.size("marked") - window, F.lit(0)) + 1
         pieces = F.transform(F.sequence(F.lit(1), last, F.lit(PIECE)), lambda start: F.slice("marked", start, F.lit(PIECE + window - 1)))
         within = F.sequence(F.lit(1), F.greatest(F.size("piece") - window, F.lit(0)) + 1)
         content = F.transform(within, lambda start: F.array_sort(F.array_compact(F.array_distinct(F.slice("piece", start, F.lit(window))))))
-        contents = df.select(marked.alias("marked")).select(F.explode(pieces).alias("piece")).select(F.explode(content).alias("content"))
+        contents = df.select(F.when(F.size(tokens) <= window, seen).otherwise(marked).alias("marked")).select(F.explode(pieces).alias("piece"))
+        # A piece of one window, mostly a short document, is its own content once it is sorted and without nulls.
+        whole = F.array(F.sort_array(F.array_distinct(F.array_compact("piece"))))
+        contents = contents.select(F.explode(F.when(F.size("piece") <= window, whole).otherwise(content)).alias("content"))
     return contents.groupBy("content").agg(F.count(F.lit(1)).alias("n"))
 
 
