@@ -2,6 +2,7 @@
 
 import random
 
+from argotlog.llm import passages
 from argotlog.llm.licenses import TEMPLATES, scan_licenses
 from argotlog.llm.passages import near_passages
 from tests.llm import brute
@@ -40,6 +41,26 @@ def test_chains_of_passages_are_one_class(spark):
     assert got == expected
 
 
+def test_copies_of_a_text_make_no_windows_of_their_own(spark, monkeypatch):
+    # Equal texts made the windows of each, and these filled the disk.
+    rng, sizes, table = random.Random(7), [], passages.table
+    base, other = prose(rng, 400), prose(rng, 400)
+    changed = [*base[:200], "new", *base[201:]]
+    rows = [(i, " ".join(changed if i == 20 else base if i < 40 else other)) for i in range(80)]
+
+    def counted(df, *args):
+        out = table(df, *args)
+        if {"value", "c"} <= set(out.columns):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "table", counted)
+    got = {r["doc_id"]: r for r in near_passages(frame(spark, rows)).collect()}
+    assert sizes and max(sizes) < 1000
+    assert {key: r["class_id"] for key, r in got.items()} == {key: 0 if key < 40 else 40 for key in range(80)}
+    assert all([(s["start"], s["end"]) for s in r["spans"]] == [(0, 400)] for r in got.values())
+
+
 def test_short_notices_are_met_at_any_place(spark):
     rng, notice = random.Random(2), TEMPLATES["MIT notice"].split()
     rows = [(i, " ".join(prose(rng, i % 40) + notice + prose(rng, rng.randrange(30)))) for i in range(800)]
