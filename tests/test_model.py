@@ -262,3 +262,24 @@ def test_a_short_document_is_one_window(spark):
     found = {tuple(r.content): r.n for r in window_contents(df, ["a", "b"], 10).collect()}
     assert found == {("a", "b"): 3, (): 2, ("a",): 1}
     assert {tuple(r.content): r.n for r in window_contents(df, ["a", "b"], None).collect()} == {("a", "b"): 2, (): 2, ("a",): 1}
+
+
+def test_a_task_holds_one_block_of_documents_at_a_time(spark):
+    """Blocks are bounded for few topics too, and the rows of a block are fitted before those of the next are read."""
+    rows = spark.range(60).coalesce(1).select(F.lit(0).alias("slot"), F.transform(F.sequence(F.lit(1), F.lit(9000)), lambda i: F.concat(F.lit("t"), i % 3000)).alias("tokens"), F.col("id").alias("carried"))
+    blocks = lda.blocks_of(rows, 1)
+    sizes = [r[0] for r in blocks.select(F.expr("octet_length(n) div 8")).collect()]
+    assert len(sizes) > 1 and sum(sizes) == 60 * 3000
+    layout = lda.Layout((1,), ((1.0,),), (1.0,))
+    start = lda.initial(blocks.select(F.explode("terms").alias("term")).distinct(), layout, 1)
+    every = lda.gathered(blocks, start.table.where("term != 't7'"), 1).coalesce(1).toArrow().to_batches(max_chunksize=1)
+    assert len(every) > 5
+    read = []
+    seen = lda._each((read.append(i) or b for i, b in enumerate(every)), 1)
+    carried, d, terms = next(seen)
+    assert len(read) < len(every)
+    parts = [(carried, d, terms), *seen]
+    assert sorted(x for p in parts for x in p[0].to_pylist()) == list(range(60)) and len(parts) == len(sizes)
+    for carried, d, terms in parts:
+        assert d.n.sum() == len(carried) * 8997 and "t7" not in {terms[i].as_py() for i in d.known}
+        assert all(d.weights[:, 0] > 0) and len(d.known) == 2999
